@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import mixing, packing
+from . import jaccard, mixing, packing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,8 +36,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
+    return {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup, "op9_jaccard_join": op9_jaccard_join}
 
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

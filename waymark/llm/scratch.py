@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _released: dict[str, list[str]] = {}
 _local_root: str | None = None
@@ -50,3 +51,16 @@ def release(spark: SparkSession, scope: str) -> None:
     for path in _released.pop(scope, []):
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with one row per key of ``groups``, whose ``count`` says how many rows each key has.
+
+    Keys with more than one in ``share`` of all rows, fewer than ``share`` of them, are broadcast;
+    the rest is shuffled, and no key of it is large.
+    """
+    total = groups.agg({count: "sum"}).first()[0] or 0
+    least = max(1000, total // share)
+    hot = groups.filter(groups[count] > least)
+    rest = rows.join(broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(groups[count] <= least), keys)
+    return rows.join(broadcast(hot), keys).unionByName(rest)
