@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import jaccard, mixing, packing
+from . import jaccard, media, mixing, packing, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,8 +40,23 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_column(read(spark, sf_dir, "documents"), with_media=False)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup, "op9_jaccard_join": op9_jaccard_join}
+    return {
+        "op2_packing": op2_packing,
+        "op3_mixing": op3_mixing,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op8_media_columns": op8_media_columns,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_warc": op10_warc,
+    }
 
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
