@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import jaccard, media, mixing, packing, toxicity, warc
+from . import jaccard, language, media, mixing, packing, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,6 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
         "op3_mixing": op3_mixing,
+        "op4_language": op4_language,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_media_columns": op8_media_columns,
         "op9_jaccard_join": op9_jaccard_join,

@@ -93,6 +93,13 @@ class Words:
         raw = (self._sums[end] - self._sums[self.start]) * _weights(len(self._sums))[1][self.start]
         return mix(raw + (end - self.start).astype(np.uint64))
 
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, hash) of every run of ``size`` bytes inside a word; the hashes still want mixing."""
+        count = np.maximum(0, self.end - self.start - size + 1)
+        upto = np.cumsum(count)
+        at = np.repeat(self.start - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
+        return np.repeat(self.doc, count), (self._sums[at + size] - self._sums[at]) * _weights(len(self._sums))[1][at]
+
 
 def shingles(words: Words, size: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, hash) of every run of ``size`` words, with repeats; a text of fewer words is one shingle."""
