@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import jaccard, language, media, mixing, packing, toxicity, warc
+from . import jaccard, language, media, mixing, packing, quality, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -48,6 +48,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(read(spark, sf_dir, "documents"), with_media=False)
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_language": op4_language,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_quality": op7_quality,
         "op8_media_columns": op8_media_columns,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_warc": op10_warc,
