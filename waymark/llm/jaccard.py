@@ -26,20 +26,23 @@ rows are copies of each other; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
 from .scratch import join_hot, table
 
-SKETCH_BITS = 20
-#: The sketch travels in blocks of so many counters.
-BLOCK = 1 << 14
+SKETCH_BITS = 23
+#: The sketch travels in compressed blocks of so many counters.
+BLOCK = 1 << 17
+#: Counts are kept as a logarithm in steps of an eighth of a doubling, one byte each.
+STEPS = 8
 #: Lists whose count exceeds the sketch's usual count by more than this are split into parts of about this size.
 PART_ROWS = 50_000
 #: Tasks that add up the sketches of all partitions, as a stream.
@@ -47,7 +50,7 @@ ADDERS = 8
 #: Prefix entries that one partition sorts in memory.
 ENTRIES_PER_PARTITION = 1_000_000
 FRAGMENTS = 4
-#: Ids are broadcast up to this number, else joined by shuffle.
+#: Ids and pairs are broadcast up to this number, else joined by shuffle.
 BROADCAST_IDS = 300_000
 _TABLE = textnum.lower_words()
 _SHIFT = np.uint64(64 - SKETCH_BITS)
@@ -55,14 +58,15 @@ _SHIFT = np.uint64(64 - SKETCH_BITS)
 
 def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             for _, data, offsets in textnum.blocks(batch.column(0)):
                 _, h = textnum.shingles(textnum.Words(data, offsets, _TABLE), size, len(offsets) - 1)
-                counts += np.bincount((h >> _SHIFT).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (h >> _SHIFT).astype(np.int64), np.uint32(1))
         if counts.any():
-            parts = counts.astype(np.uint32).reshape(-1, BLOCK)
-            yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
+            # equal bytes of the counters lie together, most of them zero
+            parts = [zlib.compress(p.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for p in counts.reshape(-1, BLOCK)]
+            yield pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["block", "counts"])
 
     return run
 
@@ -71,19 +75,29 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(counts.as_buffer(), dtype=np.uint32).astype(np.int64)
+            x = np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0].astype(np.int64)
             sums[block] = sums[block] + x if block in sums else x
     if sums:
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([_logs(x).tobytes() for x in sums.values()], pa.binary()), pa.array([int(x.sum()) for x in sums.values()])], names=["block", "counts", "total"])
 
 
-def frequency_sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """Counts of n-grams by the first ``SKETCH_BITS`` bits of their hash: 8 MB whatever the input."""
+def _logs(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.rint(STEPS * np.log2(1.0 + counts))).astype(np.uint8)
+
+
+def count_of(logs: np.ndarray) -> np.ndarray:
+    """About the counts that :func:`_logs` was given."""
+    return np.exp2(logs / STEPS) - 1
+
+
+def frequency_sketch(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, int]:
+    """Logarithmic counts of n-grams by the first ``SKETCH_BITS`` bits of their hash, 8 MB whatever the input, and how many there are."""
     each = docs.select(text_col).mapInArrow(_count(size), "block int, counts binary")
-    out = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, dtype=np.int64).reshape(-1, BLOCK)
-    for block, counts in each.repartition(ADDERS, "block").mapInArrow(_add, "block int, counts binary").collect():
-        out[block] = np.frombuffer(counts, dtype=np.int64)
-    return out.reshape(-1)
+    out, total = np.zeros(((1 << SKETCH_BITS) // BLOCK, BLOCK), dtype=np.uint8), 0
+    for block, logs, some in each.repartition(ADDERS, "block").mapInArrow(_add, "block int, counts binary, total long").collect():
+        out[block] = np.frombuffer(logs, dtype=np.uint8)
+        total += some
+    return out.reshape(-1), total
 
 
 class _Sets:
@@ -110,7 +124,7 @@ def _entries(size: int, percent: int, shared, id_type: pa.DataType | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        usual = int(sketch.mean()) + 1
+        usual = count_of(sketch[:: 64]).mean() + 1
         for batch in batches:
             spread = batch.column(2).to_numpy(zero_copy_only=False)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -126,7 +140,7 @@ def _entries(size: int, percent: int, shared, id_type: pa.DataType | None = None
                 prefix = sets.n - (percent * sets.n + 99) // 100 + 1
                 keep = (sets.place < prefix[sets.doc]) & known[rows][sets.doc]
                 doc = sets.doc[keep]
-                parts = 1 + np.maximum(0, sets.frequency[keep] - 2 * usual) // PART_ROWS
+                parts = (1 + np.maximum(0, count_of(sets.frequency[keep]) - 2 * usual) // PART_ROWS).astype(np.int64)
                 # the part's number and how many there are: the latter is a function of the n-gram alone
                 part = (spread[rows][doc].view(np.uint64) % parts.astype(np.uint64)).astype(np.int32)
                 part = np.where(parts > 1, part + 1, 0).astype(np.int32)
@@ -198,11 +212,9 @@ def _rows(id_type, names, kind, key, part, sid, n, place, sid2, n2) -> pa.Record
 
 def fragment_bounds(sketch: np.ndarray, fragments: int) -> np.ndarray:
     """Frequencies at which the global order is cut, so that each fragment holds about as many occurrences."""
-    counts = np.sort(sketch[sketch > 0])
-    mass = np.cumsum(counts)
-    if not len(counts):
-        return np.zeros(fragments - 1, dtype=np.int64)
-    return counts[np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments), len(counts) - 1)]
+    bins = np.bincount(sketch, minlength=256)
+    mass = np.cumsum(bins * count_of(np.arange(256)))
+    return np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments)
 
 
 def _segments(size: int, shared, bounds: np.ndarray):
@@ -229,14 +241,14 @@ class JaccardJoin:
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.spark: SparkSession = docs.sparkSession
         self.size, self.percent, self.scope = size, percent, scope
-        sketch = frequency_sketch(self.docs, "text", size)
+        sketch, total = frequency_sketch(self.docs, "text", size)
         self.bounds = fragment_bounds(sketch, FRAGMENTS)
         self.sketch = self.spark.sparkContext.broadcast(sketch)
         id_field = T.StructField("id", self.docs.schema["id"].dataType)
         columns = [T.StructField("key", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("place", T.IntegerType())]
         entries = self.docs.select("id", "text", F.xxhash64("id").alias("spread")).mapInArrow(_entries(size, percent, self.sketch), T.StructType([id_field, *columns]))
         default = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        wanted = int(sketch.sum()) * (100 - percent) // 100 // ENTRIES_PER_PARTITION + 1
+        wanted = total * (100 - percent) // 100 // ENTRIES_PER_PARTITION + 1
         stars = T.StructType([T.StructField("kind", T.IntegerType()), id_field, *columns, T.StructField("sid2", T.LongType()), T.StructField("n2", T.IntegerType())])
         self.lists = table(entries.repartition(max(default, wanted), "key", "part").mapInArrow(_stars(percent), stars), "jaccard-lists", scope)
         self.rows = self.lists.filter("kind = 0").select("id", "sid", "n")
@@ -259,7 +271,10 @@ class JaccardJoin:
 
     @staticmethod
     def _ordered(pairs: DataFrame) -> DataFrame:
-        swap = F.struct("sid_a", "n_a") > F.struct("sid_b", "n_b")
+        return JaccardJoin._swapped(pairs, F.struct("sid_a", "n_a") > F.struct("sid_b", "n_b"))
+
+    @staticmethod
+    def _swapped(pairs: DataFrame, swap: Column) -> DataFrame:
         return pairs.select(
             *[F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("sid", "n")]
         )
@@ -271,10 +286,19 @@ class JaccardJoin:
         few = ids.count() <= BROADCAST_IDS
         texts = self.docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "id", "left_semi").select("text")
         segments = table(texts.mapInArrow(_segments(self.size, self.sketch, self.bounds), "sid long, n int, fragment int, grams array<long>"), "jaccard-segments", self.scope)
+        # the set with more pairs is side a, so that fewer sets travel to it
+        degree = pairs.select(F.col("sid_a").alias("sid"), F.col("n_a").alias("n")).union(pairs.select("sid_b", "n_b")).groupBy("sid", "n").count()
+        ranked = pairs
+        for side in "ab":
+            ranked = ranked.join(degree.select(F.col("sid").alias(f"sid_{side}"), F.col("n").alias(f"n_{side}"), F.col("count").alias(f"degree_{side}")), [f"sid_{side}", f"n_{side}"])
+        swap = F.col("degree_b") > F.col("degree_a")
+        pairs = table(self._swapped(ranked, swap), "jaccard-hubs", self.scope)
+        small = (lambda x: F.broadcast(x)) if pairs.count() <= BROADCAST_IDS else (lambda x: x)
         of_b = segments.select(F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("grams_b"))
         of_a = segments.select(F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("grams_a"))
+        of_a = of_a.join(small(pairs.select("sid_a", "n_a").distinct()), ["sid_a", "n_a"], "left_semi")
         partial = (
-            pairs.join(of_b, ["sid_b", "n_b"])
+            of_b.join(small(pairs), ["sid_b", "n_b"])
             .join(of_a, ["sid_a", "n_a", "fragment"])
             .select("sid_a", "n_a", "sid_b", "n_b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap"))
         )
@@ -345,3 +369,14 @@ def near_duplicates(
     return linked.select("id", "n", "component_id").unionByName(empty.select("id", "n", "component_id")).select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id"
     )
+
+
+def kept_documents(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", scope: str = "") -> DataFrame:
+    """One document of each component, that with the smallest id, with all its columns.
+
+    Rows that share the smallest id all stay. The ids that go are broadcast up to ``BROADCAST_IDS``,
+    else joined by shuffle.
+    """
+    gone = table(result.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "jaccard-gone", scope)
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
