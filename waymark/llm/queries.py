@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import jaccard, language, media, mixing, packing, quality, toxicity, warc
+from . import jaccard, language, media, mixing, packing, preference, quality, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -48,6 +48,17 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference.format_pairs(preference.reply_pairs(read(spark, sf_dir, "conversations")))
+
+    def shown(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+
+    return out.select(
+        F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt", "chosen", "rejected", shown("chosen_spans").alias("chosen_spans"), shown("rejected_spans").alias("rejected_spans")
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -67,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_language": op4_language,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_preference": op6_preference,
         "op7_quality": op7_quality,
         "op8_media_columns": op8_media_columns,
         "op9_jaccard_join": op9_jaccard_join,
@@ -119,5 +131,35 @@ FROM p
 """
 
 
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+g AS (
+  SELECT conv_id, min(i) FILTER (role = 'assistant') AS f, coalesce(max(i) FILTER (role = 'assistant'), max(i)) AS l FROM t GROUP BY conv_id),
+c AS (SELECT t.* FROM t JOIN g USING (conv_id) WHERE i <= l),
+r AS (
+  SELECT c.conv_id, c.role, i,
+         CASE WHEN i = l AND f = l THEN '' WHEN i = l AND f < l THEN (SELECT any_value(x.text) FROM t x WHERE x.conv_id = c.conv_id AND x.i = g.f) ELSE c.text END AS text
+  FROM c JOIN g USING (conv_id)),
+p AS (
+  SELECT g.conv_id, coalesce(min(c.i) FILTER (c.role <> r.role OR c.text <> r.text) - 1, max(g.l)) AS prompt_turns
+  FROM g JOIN c USING (conv_id) JOIN r ON r.conv_id = c.conv_id AND r.i = c.i GROUP BY g.conv_id),
+b AS (SELECT *, 'c' AS side FROM c UNION ALL SELECT conv_id, role, text, i, 'r' FROM r),
+m AS (
+  SELECT b.*, prompt_turns, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, i > prompt_turns AS rest
+  FROM b JOIN p USING (conv_id)),
+o AS (
+  SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, side, rest ORDER BY i) - length(shown) + length(role) + 5 AS start FROM m)
+SELECT conv_id, CAST(any_value(prompt_turns) AS INTEGER) AS prompt_turns,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'c' AND NOT rest), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'c' AND rest), '') AS chosen,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 'r' AND rest), '') AS rejected,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) + 7 AS BIGINT), ',' ORDER BY i) FILTER (side = 'c' AND rest AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) + 7 AS BIGINT), ',' ORDER BY i) FILTER (side = 'r' AND rest AND role = 'assistant'), '') AS rejected_spans
+FROM o GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op6_preference": OP6_SQL, "op3_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
