@@ -21,11 +21,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import join_hot, table
 
 HASHES = 2
-#: Groups with more than this share of all candidate rows are joined by broadcast; there are fewer than its inverse.
-HOT_SHARE = 1000
+#: What goes is broadcast up to this number of rows, about 20 MB.
+BROADCAST_LOST = 300_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -98,24 +98,16 @@ def exact_dedup(
         "dedup-groups",
         scope,
     )
-    alone = [F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")]
-    joined = [
-        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("keep.row") == F.col("row"), F.lit(True)).alias("kept"),
-    ]
-    least = max(1000, rows // HOT_SHARE)
-    hot = groups.filter(F.col("group_size") > least)
-    in_hot = candidates.join(F.broadcast(hot), "sha")
-    rest = candidates.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(
-        groups.filter(F.col("group_size") <= least), "sha", "left"
-    )
     sha = F.lower(F.hex("sha")).alias("text_sha256")
+    single = candidates.join(groups.select("sha"), "sha", "left_anti")
+    grouped = join_hot(candidates, groups, ["sha"], "group_size")
     return (
         probed.filter("not suspect")
-        .select("id", *alone, sha)
-        .unionByName(in_hot.select("id", *joined, sha))
-        .unionByName(rest.select("id", *joined, sha))
+        .unionByName(single)
+        .select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+        .unionByName(
+            grouped.select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("keep.row") == F.col("row")).alias("kept"), sha)
+        )
         .withColumnRenamed("id", id_col)
     )
 
@@ -126,26 +118,25 @@ def bit_is_set(bitmap: str, slot: str) -> Column:
     return F.expr(f"coalesce(getbit({byte}, cast(bitmap_bit_position({slot}) % 8 as int)) = 1, false)")
 
 
-def kept_documents(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that agree in id and text are told apart by nothing, so one of them is taken. The ids that
-    go are thin; Spark's own size check decides whether they are broadcast.
+    Rows that agree in id and text are told apart by nothing, so one of them is taken. What goes is
+    found by (id, hash): broadcast up to ``BROADCAST_LOST`` rows, else joined by shuffle.
     """
-    lost = decisions.filter("not kept").groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(
-        F.count(F.lit(1)).alias("_n")
+    pairs = decisions.groupBy(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha")).agg(
+        F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")
     )
-    saved = decisions.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    gone = lost.join(saved, (lost["_id"].eqNullSafe(saved["_id"])) & (lost["_sha"] == saved["_sha"]), "left_anti")
-    twins = lost.join(saved, (lost["_id"].eqNullSafe(saved["_id"])) & (lost["_sha"] == saved["_sha"]), "left_semi")
-    marked = docs.withColumn("_waymark_sha", text_sha256(F.col(text_col)))
+    odd = table(pairs.filter("not _kept or _n > 1"), "dedup-lost", scope)
+    few = odd.count() <= BROADCAST_LOST
+    marked = docs.withColumn("_waymark_sha", F.unhex(text_sha256(F.col(text_col))))
 
-    def matches(other: DataFrame) -> Column:
-        return marked[id_col].eqNullSafe(other["_id"]) & (marked["_waymark_sha"] == other["_sha"])
+    def side(rows: DataFrame) -> tuple[DataFrame, Column]:
+        return F.broadcast(rows) if few else rows.hint("shuffle_hash"), marked[id_col].eqNullSafe(rows["_id"]) & (marked["_waymark_sha"] == rows["_sha"])
 
-    out = marked.join(gone, matches(gone), "left_anti")
+    out = marked.join(*side(odd), "left_anti")
+    twins = odd.filter("_kept")
     if not twins.isEmpty():
-        single = out.join(twins, (out[id_col].eqNullSafe(twins["_id"])) & (out["_waymark_sha"] == twins["_sha"]), "left_anti")
-        pairs = out.join(twins, (out[id_col].eqNullSafe(twins["_id"])) & (out["_waymark_sha"] == twins["_sha"]), "left_semi")
-        out = single.unionByName(pairs.dropDuplicates([id_col, "_waymark_sha"]))
+        one = marked.join(*side(twins), "left_semi").dropDuplicates([id_col, "_waymark_sha"])
+        out = out.unionByName(one)
     return out.drop("_waymark_sha")
