@@ -35,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
     scope = _enter(spark, "exact dedup")
-    return exact_dedup.kept_documents(docs, exact_dedup.exact_dedup(docs, scope=scope))
+    return exact_dedup.kept_documents(docs, exact_dedup.exact_dedup(docs, scope=scope), scope=scope)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
