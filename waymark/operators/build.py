@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_ascii
-from .sized import small
 
 # What the registers' status codes mean.
 ADDRESS_STATUS = {"3": "current", "4": "retired", "2": "preliminary", "5": "abandoned"}
@@ -107,13 +106,13 @@ def street_ids(names: DataFrame, name: str = "name", lifecycle_rank: str = "rank
     """
     folded = names.withColumn("folded_street", normalize_ascii(F.col(name))).filter("folded_street <> ''")
     one = folded.groupBy("folded_street").agg(F.min(name).alias("street"), F.min(lifecycle_rank).alias("best_rank"))
-    # counts of each first letter give every group its base, so that no window spans all names
+    # counts by the first two characters give every group its base, so that no window spans all names; such pairs are few
     letter = F.substring("folded_street", 1, 2)
     base = one.groupBy(letter.alias("letter")).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "base", F.coalesce(F.sum("n").over(Window.orderBy("letter").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     within = F.row_number().over(Window.partitionBy("letter").orderBy("folded_street"))
-    return one.withColumn("letter", letter).join(small(base.select("letter", "base")), "letter").select(
+    return one.withColumn("letter", letter).join(F.broadcast(base.select("letter", "base")), "letter").select(
         (F.col("base") + within - 1).cast("int").alias("street_id"), "street", "folded_street", "best_rank"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
-from .sized import small
+from .sized import ROWS, is_small
 
 #: Similarities below this are not kept; the bound belongs to what is kept.
 FLOOR = 0.1
@@ -23,11 +23,13 @@ def similarities(queries: DataFrame, names: DataFrame, query_col: str = "query",
     known = names.select(F.col(name_col).alias("name")).filter("name is not null").distinct().withColumn("n_grams", trigrams(F.col("name")))
     left = q.select("query", F.size("q_grams").alias("q_size"), F.explode("q_grams").alias("gram"))
     right = known.select("name", F.size("n_grams").alias("n_size"), F.explode("n_grams").alias("gram"))
-    common = left.join(small(right), "gram").groupBy("query", "name", "q_size", "n_size").agg(F.count(F.lit(1)).alias("common"))
+    # a name has some ten trigrams
+    near = F.broadcast if is_small(names, ROWS // 10) else (lambda df: df)
+    common = left.join(near(right), "gram").groupBy("query", "name", "q_size", "n_size").agg(F.count(F.lit(1)).alias("common"))
     sim = F.col("common") / (F.col("q_size") + F.col("n_size") - F.col("common"))
     scored = common.select("query", "name", sim.alias("sim")).filter(F.col("sim") >= FLOOR)
     ids = names.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"))
-    return scored.join(small(ids), "name").select("query", "id", "sim")
+    return scored.join(near(ids), "name").select("query", "id", "sim")
 
 
 def ranked(hits: DataFrame, cap: int, by: list, partition: list[str]) -> DataFrame:

@@ -119,15 +119,16 @@ def evidence(queries: DataFrame, postcode_members: DataFrame | None = None, city
 
 
 def _candidates(combos: DataFrame, addresses: DataFrame, streets: DataFrame) -> DataFrame:
-    rows = small(combos.select("qid", "street_id", "postcode", "sim")).join(addresses, ["street_id", "postcode"])
-    return rows.join(small(streets.select("street_id", "street", "folded_street")), "street_id")
+    # the size of the combinations is known once they are computed; adaptive execution picks the join then
+    rows = combos.select("qid", "street_id", "postcode", "sim").join(addresses, ["street_id", "postcode"])
+    return rows.join(streets, "street_id")
 
 
 def _by_postcode(wanted: DataFrame, addresses: DataFrame, streets: DataFrame, sims: DataFrame, cap: Column) -> DataFrame:
     """Rows of the postcodes (qid, code, house_number) that queries source from, with their number if they have one."""
     w = wanted.select("qid", "pinned", F.col("code").alias("postcode"), F.col("house_number").alias("q_number"), "q_street")
     rows = w.join(addresses, "postcode").filter("q_number is null or house_number = q_number")
-    rows = rows.join(small(streets.select("street_id", "street", "folded_street")), "street_id")
+    rows = rows.join(streets, "street_id")
     sim = F.when(F.col("q_street").isNull(), 0.0).otherwise(similarity(trigrams(F.col("q_street")), trigrams(F.col("folded_street"))))
     rows = rows.withColumn("sim", sim).withColumn("cap", cap)
     order = Window.partitionBy("qid").orderBy(F.desc("sim"), "address_id")
@@ -144,6 +145,7 @@ def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge
     """
     k = params.k
     addresses = addresses.filter(F.col("lifecycle").isin(*params.lifecycles))
+    names, streets = streets, small(streets.select("street_id", "street", "folded_street"))
     q = queries.withColumn("unit", F.col("floor").isNotNull() | F.col("door").isNotNull())
     q = q.withColumn("pinned", F.coalesce(F.size("postcode_codes") > 0, F.lit(False)))
     q = q.withColumn("local", F.array_union(F.coalesce("city_codes", F.array().cast("array<string>")), F.coalesce("sub_locality_codes", F.array().cast("array<string>"))))
@@ -158,15 +160,14 @@ def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge
     held = _by_postcode(source, addresses, streets, q, cap)
 
     scored_probe = _scored(held.join(q.select("qid", whole), "qid"), params).persist()  # read by the gate and by the pool
-    groups = _grouped(scored_probe)
-    eligible = F.col("q.street").isNotNull() & F.col("q.house_number").isNotNull() & ~F.col("q.unit") & F.col("q.pinned")
+    eligible = q.filter(F.col("street").isNotNull() & F.col("house_number").isNotNull() & ~F.col("unit") & F.col("pinned")).select("qid")
     gate = (
-        groups.groupBy("qid").agg(F.count(F.lit(1)).alias("groups"), F.max("max_sim").alias("max_sim"), F.first(eligible).alias("eligible"))
-        .filter((F.col("groups") >= k) & (F.col("max_sim") >= SIM_GATE) & F.col("eligible"))
-        .select("qid")
-    )
+        _groups(scored_probe).groupBy("qid").agg(F.count(F.lit(1)).alias("groups"), F.max("max_sim").alias("max_sim"))
+        .filter((F.col("groups") >= k) & (F.col("max_sim") >= SIM_GATE))
+        .join(eligible, "qid", "left_semi").select("qid").persist()
+    )
 
-    sims = similarities(q, streets, "street", "street_id", "folded_street").select(F.col("query").alias("street"), F.col("id").alias("street_id"), "sim").persist()
+    sims = similarities(q, names, "street", "street_id", "folded_street").select(F.col("query").alias("street"), F.col("id").alias("street_id"), "sim").persist()
     streams = q.join(gate, "qid", "left_anti").select("qid", "street", "pinned", "postcode_codes").join(sims, "street")
     pins = q.select("qid", F.when(F.col("pinned"), F.col("postcode_codes")).alias("postcodes"))
     confined = street_combos(streams.select("qid", "street_id", "sim"), bridge, STREAM_CAP, pins)
@@ -178,44 +179,43 @@ def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge
     access = ["qid", "street_id", "postcode", "house_number", "house_letter"]
     stream = stream.filter("unit").unionByName(collapse_units(stream.filter("not unit"), access)).drop("unit")
 
-    pool = scored_probe.unionByName(_scored(stream.join(q.select("qid", whole), "qid"), params))
-    return _confident(_top(_grouped(pool), k), params)
+    pool = scored_probe.unionByName(_scored(stream.join(q.select("qid", whole), "qid"), params)).persist()  # ranked, then read again for the few that stay
+    return _confident(_top(pool, k, q.select("qid", whole)), params)
+
+
+ROW = ("address_id", "street_id", "street", "folded_street", "postcode", "house_number", "house_letter", "floor", "door", "sub_locality", "city", "lifecycle", "sim")
 
 
 def _scored(rows: DataFrame, params: Params) -> DataFrame:
+    """Candidates with their score and ``group``: units are groups of their own only if the query names one."""
     r = F.struct("sim", "house_number", "house_letter", "floor", "door", "postcode")
-    fields = ("address_id", "street_id", "street", "folded_street", "postcode", "house_number", "house_letter", "floor", "door", "sub_locality", "city", "lifecycle", "sim")
-    return rows.withColumn("r", r).withColumn("score", score(params.weights)).select("qid", "q", "score", F.struct(*fields).alias("row"))
+    unit, e = F.col("q.unit"), lambda c: F.coalesce(c, F.lit(""))
+    group = F.concat_ws(
+        "\x1f", F.col("street_id").cast("string"), e(F.col("house_number")), e(F.col("postcode")), e(F.col("house_letter")),
+        e(F.when(unit, F.col("floor"))), e(F.when(unit, F.col("door"))),
+    )
+    bare = ~unit & F.col("floor").isNull() & F.col("door").isNull()
+    scored = rows.withColumn("r", r).withColumn("score", score(params.weights))
+    return scored.select("qid", group.alias("group"), "score", bare.alias("bare"), *ROW)
 
 
-def _grouped(scored: DataFrame) -> DataFrame:
-    """One row a group: its best score and the row that stands for it.
+def _groups(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("qid", "group").agg(F.max("score").alias("score"), F.max("sim").alias("max_sim"))
 
-    Units are groups of their own only if the query names one; else the row without unit stands for the group.
-    """
-    unit = F.col("q.unit")
-    bare = F.col("row.floor").isNull() & F.col("row.door").isNull()
-    key = F.struct(
-        F.col("row.street_id"), F.col("row.folded_street"), F.col("row.house_number"), F.col("row.postcode"), F.col("row.house_letter"),
-        F.when(unit, F.col("row.floor")).alias("floor"), F.when(unit, F.col("row.door")).alias("door"),
-    )
-    order = F.struct(F.when(~unit & bare, 0).otherwise(1), -F.col("score"), F.col("row.address_id"))
-    return scored.groupBy("qid", key.alias("key")).agg(
-        F.max("score").alias("score"),
-        F.max("row.sim").alias("max_sim"),
-        F.first("q").alias("q"),
-        F.min_by("row", order).alias("row"),
-    )
 
+def _top(scored: DataFrame, k: int, queries: DataFrame) -> DataFrame:
+    """The best ``k`` groups of each query, each by the row that stands for it: one without unit, else the best.
 
-def _top(groups: DataFrame, k: int) -> DataFrame:
-    letter = F.when(F.col("q.house_letter").isNull() & F.col("row.house_letter").isNotNull(), 1).otherwise(0)
-    # the edit cost is needed for ties only, so it is taken of what the score alone keeps
+    Scores are ranked first, on numbers alone; rows and edit costs are looked up for what that keeps.
+    """
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"))
-    near = groups.withColumn("_r", F.rank().over(by_score)).filter(F.col("_r") <= k).drop("_r")
-    near = near.withColumn("edits", F.coalesce(edit_cost(F.col("q.street"), F.col("row.folded_street")), F.lit(0)))
-    order = [F.desc("score"), "edits", letter, lifecycle_rank(F.col("row.lifecycle")), F.col("row.address_id")]
-    return ranked(near, k, order, ["qid"])
+    near = _groups(scored).withColumn("_r", F.rank().over(by_score)).filter(F.col("_r") <= k).select("qid", "group", F.col("score").alias("best"))
+    order = F.struct(F.when(F.col("bare"), 0).otherwise(1), -F.col("score"), F.col("address_id"))
+    rows = scored.join(near, ["qid", "group"]).groupBy("qid", "group").agg(F.first("best").alias("score"), F.min_by(F.struct(*ROW), order).alias("row"))
+    rows = rows.join(queries, "qid")
+    letter = F.when(F.col("q.house_letter").isNull() & F.col("row.house_letter").isNotNull(), 1).otherwise(0)
+    rows = rows.withColumn("edits", F.coalesce(edit_cost(F.col("q.street"), F.col("row.folded_street")), F.lit(0)))
+    return ranked(rows, k, [F.desc("score"), "edits", letter, lifecycle_rank(F.col("row.lifecycle")), F.col("row.address_id")], ["qid"])
 
 
 def _confident(top: DataFrame, params: Params) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 ROWS = 500_000
 
 
-def small(df: DataFrame, rows: int = ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if the optimiser's own bound on its size, or a count that stops early, allows it."""
+def is_small(df: DataFrame, rows: int = ROWS) -> bool:
+    """Whether the optimiser's own bound on the size, or a count that stops early, allows a broadcast."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if known <= 8 << 20 or df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
+    return known <= 8 << 20 or df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is small."""
+    return F.broadcast(df) if is_small(df, rows) else df

@@ -181,7 +181,7 @@ def recovery_by_postcode(spark, sf):
     wanted = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("qid"), (F.col("s_suppkey") % 25 + 1).cast("string").alias("code"), F.lit(None).cast("string").alias("house_number"), F.lit(None).cast("string").alias("q_street"), F.lit(True).alias("pinned"))
     streets = names(spark, sf).select(F.col("id").alias("street_id"), F.col("name").alias("street"), F.col("folded").alias("folded_street"))
     current = addresses(spark, sf).filter("lifecycle = 'current'")
-    return resolve._by_postcode(wanted, current, streets, wanted, F.lit(resolve.POSTCODE_CAP)).select("qid", "address_id")
+    return resolve._by_postcode(wanted, current, F.broadcast(streets), wanted, F.lit(resolve.POSTCODE_CAP)).select("qid", "address_id")
 
 
 @query("unit_collapse", f"WITH {ADDR} SELECT address_id FROM addr a WHERE (floor IS NULL AND door IS NULL) OR NOT EXISTS (SELECT 1 FROM addr b WHERE b.street_id = a.street_id AND b.postcode = a.postcode AND b.house_number = a.house_number AND b.floor IS NULL AND b.door IS NULL)")
