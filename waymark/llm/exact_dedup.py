@@ -124,19 +124,19 @@ def kept_documents(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id"
     Rows that agree in id and text are told apart by nothing, so one of them is taken. What goes is
     found by (id, hash): broadcast up to ``BROADCAST_LOST`` rows, else joined by shuffle.
     """
-    pairs = decisions.groupBy(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha")).agg(
-        F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")
+    pairs = decisions.groupBy(F.col(id_col).alias("__lost_id"), F.unhex("text_sha256").alias("__lost_sha")).agg(
+        F.bool_or("kept").alias("__lost_kept"), F.count(F.lit(1)).alias("__lost_n")
     )
-    odd = table(pairs.filter("not _kept or _n > 1"), "dedup-lost", scope)
+    odd = table(pairs.filter("not __lost_kept or __lost_n > 1"), "dedup-lost", scope)
     few = odd.count() <= BROADCAST_LOST
-    marked = docs.withColumn("_waymark_sha", F.unhex(text_sha256(F.col(text_col))))
+    marked = docs.withColumn("__own_sha", F.unhex(text_sha256(F.col(text_col))))
 
     def side(rows: DataFrame) -> tuple[DataFrame, Column]:
-        return F.broadcast(rows) if few else rows.hint("shuffle_hash"), marked[id_col].eqNullSafe(rows["_id"]) & (marked["_waymark_sha"] == rows["_sha"])
+        return F.broadcast(rows) if few else rows.hint("shuffle_hash"), marked[id_col].eqNullSafe(rows["__lost_id"]) & (marked["__own_sha"] == rows["__lost_sha"])
 
     out = marked.join(*side(odd), "left_anti")
-    twins = odd.filter("_kept")
+    twins = odd.filter("__lost_kept")
     if not twins.isEmpty():
-        one = marked.join(*side(twins), "left_semi").dropDuplicates([id_col, "_waymark_sha"])
+        one = marked.join(*side(twins), "left_semi").dropDuplicates([id_col, "__own_sha"])
         out = out.unionByName(one)
-    return out.drop("_waymark_sha")
+    return out.drop("__own_sha")

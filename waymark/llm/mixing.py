@@ -125,16 +125,16 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and cut to its first words where the budget ends in it."""
-    shares = taken.groupBy(F.col(id_col).alias("_id")).agg(
-        F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_rows")
+    shares = taken.groupBy(F.col(id_col).alias("__mix_id")).agg(
+        F.sum("taken").alias("__mix_taken"), F.sum("size").alias("__mix_size"), F.count(F.lit(1)).alias("__mix_rows")
     )
-    rows = docs.join(shares, docs[id_col].eqNullSafe(shares["_id"]))
-    own = F.when(F.col("_rows") == 1, F.col("_size")).otherwise(word_count(F.col(text_col)))
-    share = F.when(F.col("_rows") == 1, F.col("_taken")).otherwise((own * F.col("_taken") / F.col("_size")).cast("long"))
+    rows = docs.join(shares, docs[id_col].eqNullSafe(shares["__mix_id"]))
+    own = F.when(F.col("__mix_rows") == 1, F.col("__mix_size")).otherwise(word_count(F.col(text_col)))
+    share = F.when(F.col("__mix_rows") == 1, F.col("__mix_taken")).otherwise((own * F.col("__mix_taken") / F.col("__mix_size")).cast("long"))
     copies = F.when(own > 0, F.ceil(share / own)).otherwise(F.lit(0)).cast("int")
-    out = rows.withColumn("_own", own).withColumn("_share", share).withColumn("_copies", copies).filter("_copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    cut = F.col("_share") - (F.col("_copy") - 1) * F.col("_own")
-    return out.withColumn(text_col, F.when(cut < F.col("_own"), first_words(F.col(text_col), cut)).otherwise(F.col(text_col))).select(
+    out = rows.withColumn("__mix_own", own).withColumn("__mix_share", share).withColumn("__mix_copies", copies).filter("__mix_copies > 0")
+    out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    cut = F.col("__mix_share") - (F.col("__mix_copy") - 1) * F.col("__mix_own")
+    return out.withColumn(text_col, F.when(cut < F.col("__mix_own"), first_words(F.col(text_col), cut)).otherwise(F.col(text_col))).select(
         *docs.columns
     )
