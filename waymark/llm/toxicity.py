@@ -45,7 +45,7 @@ _UPPER[65:91] = True
 
 
 def _kinds(words: textnum.Words) -> Iterator[np.ndarray]:
-    """Hashes of the words, then of their beginnings (0 where a word is shorter)."""
+    """Hashes of the words, then of their beginnings (0 where a word is shorter). Lexicons hold their upper halves."""
     yield textnum.mix(words.hashes())
     length = words.end - words.start
     for kind, stem in enumerate(STEMS, 1):
@@ -57,7 +57,7 @@ def _kinds(words: textnum.Words) -> Iterator[np.ndarray]:
 def fixed_entries() -> np.ndarray:
     text = " ".join(WORDS).encode()
     words = textnum.Words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), _LETTERS)
-    return textnum.mix(words.hashes())
+    return (textnum.mix(words.hashes()) >> np.uint64(32)).astype(np.uint32)
 
 
 def patterns(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -79,7 +79,8 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             m = len(offsets) - 1
             cuts = np.searchsorted(words.doc, np.arange(m + 1))
             kinds = list(_kinds(words))
-            found = [np.unique(np.concatenate([h[cuts[d] : cuts[d + 1]] for h in kinds]), return_counts=True) for d in range(m)]
+            short = [(h >> np.uint64(32)).astype(np.uint32) for h in kinds]
+            found = [np.unique(np.concatenate([h[cuts[d] : cuts[d + 1]] for h in short]), return_counts=True) for d in range(m)]
             keys = [k.tobytes() for k, _ in found]
             counts = [np.minimum(n, 255).astype(np.uint8).tobytes() for _, n in found]
             style = [x.tobytes() for x in patterns(data, offsets)]
@@ -142,12 +143,13 @@ class Classifier:
         if len(self.entries):
             words = textnum.Words(data, offsets, _LETTERS)
             likely = np.zeros(1 << 16, dtype=bool)
-            likely[(self.entries >> np.uint64(48)).astype(np.int64)] = True
+            likely[self.entries >> np.uint32(16)] = True
             hits = []
             for h in _kinds(words):
                 at = np.flatnonzero(likely[(h >> np.uint64(48)).astype(np.int64)])
-                entry = np.minimum(np.searchsorted(self.entries, h[at]), len(self.entries) - 1)
-                real = self.entries[entry] == h[at]
+                own = (h[at] >> np.uint64(32)).astype(np.uint32)
+                entry = np.minimum(np.searchsorted(self.entries, own), len(self.entries) - 1)
+                real = self.entries[entry] == own
                 hits.append(words.doc[at[real]] * len(self.entries) + entry[real])
             once, count = np.unique(np.concatenate(hits), return_counts=True)
             reached = np.cumsum(self.weights, axis=1)[once % len(self.entries), np.searchsorted(LEVELS, count, "right") - 1]
@@ -158,9 +160,10 @@ class Classifier:
 def _levels(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All distinct hashes, and (text, code) of what each text reaches; a code is hash index and level."""
     flat, count = np.concatenate(keys), np.concatenate(counts)
-    text = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    text = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
     known, which = np.unique(flat, return_inverse=True)
-    at = [(text[count >= n], which[count >= n] * len(LEVELS) + k) for k, n in enumerate(LEVELS)]
+    which = which.astype(np.int32)
+    at = [(text[count >= n], which[count >= n] * np.int32(len(LEVELS)) + np.int32(k)) for k, n in enumerate(LEVELS)]
     return known, np.concatenate([t for t, _ in at]), np.concatenate([c for _, c in at])
 
 
@@ -189,15 +192,15 @@ def _logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, l2: float,
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 100_000, seed: int = 0) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, max_chars: int = 100_000, seed: int = 0) -> Classifier:
     """From ``docs`` (id, text) and ``labels`` (id, label 0/1)."""
     rows = labelled_sample(docs, labels, per_label, max_chars, seed).mapInArrow(_sample_features, "label long, keys binary, counts binary, style binary").collect()
     seen = {bytes(r["keys"]): r for r in sorted(rows, key=lambda r: (bytes(r["keys"]), r["label"]))}  # copies count once
     rows = [seen[k] for k in sorted(seen)]
     y = np.array([r["label"] == 1 for r in rows], dtype=bool)
     if not len(rows) or y.all() or not y.any():
-        return Classifier(np.empty(0, np.uint64), np.empty((0, len(LEVELS))), np.zeros(5), -10.0 if not y.any() else 10.0)
-    keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        return Classifier(np.empty(0, np.uint32), np.empty((0, len(LEVELS))), np.zeros(5), -10.0 if not y.any() else 10.0)
+    keys = [np.frombuffer(r["keys"], dtype=np.uint32) for r in rows]
     style = np.stack([np.frombuffer(r["style"]) for r in rows])
     known, text, code = _levels(keys, [np.frombuffer(r["counts"], dtype=np.uint8) for r in rows])
     codes = _mine(known, text, code, y)
