@@ -210,10 +210,9 @@ def resolve_confidence(spark, sf):
     return resolve._confident(top, resolve.Params(margin_a=0.3, margin_b=0.05)).select("qid", "rank", "confidence")
 
 
-@query("normalize_documents", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(replace(lower(substr(text, 1, 40)), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'), 'àáâãäçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaceeeeiiiinooooouuuuyy'), '[.,/\\-\\s]+', ' ', 'g'), '\\b0+(\\d)', '\\1', 'g'), '^ +| +$', '', 'g')) AS normalized FROM documents")
+@query("normalize_documents", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(replace(lower(text), 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'), 'àáâãäçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaceeeeiiiinooooouuuuyy'), '[.,/\\-\\s]+', ' ', 'g'), '\\b0+(\\d)', '\\1', 'g'), '^ +| +$', '', 'g')) AS normalized FROM documents")
 def normalize_documents(spark, sf):
-    """The first 40 characters are the address-like field here."""
-    return read(spark, sf, "documents").select("doc_id", X.normalize_ascii(F.substring("text", 1, 40)).alias("normalized"))
+    return read(spark, sf, "documents").select("doc_id", X.normalize_ascii(F.col("text")).alias("normalized"))
 
 
 @query("normalize_urls")

@@ -52,12 +52,12 @@ def lifecycle_ds(spark, sf):
     return states(spark, sf).select("o_orderkey", build.place_lifecycle(text).alias("state"))
 
 
-VERSIONS = "v AS (SELECT user_id, ts AS effect_from, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 2 HOUR END AS effect_until, event_type FROM events WHERE event_id % 2 = 0)"
+VERSIONS = "v AS (SELECT user_id, ts AS effect_from, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 2 HOUR END AS effect_until, event_type FROM events)"
 
 
 def versions(spark: SparkSession, sf: str) -> DataFrame:
     until = F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 2 HOUR"))
-    return read(spark, sf, "events").filter("event_id % 2 = 0").select("user_id", F.col("ts").alias("effect_from"), until.alias("effect_until"), "event_type")
+    return read(spark, sf, "events").select("user_id", F.col("ts").alias("effect_from"), until.alias("effect_until"), "event_type")
 
 
 @query("asof_point_in_time", f"WITH {VERSIONS}, h AS (SELECT e.event_id, v.event_type AS name, v.effect_from FROM events e JOIN v ON v.user_id = e.user_id AND v.effect_from <= e.ts AND (v.effect_until IS NULL OR e.ts < v.effect_until) QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY v.effect_from DESC, v.event_type DESC) = 1) SELECT e.event_id, h.effect_from AS named_from, h.name FROM events e LEFT JOIN h USING (event_id)")
@@ -156,17 +156,17 @@ def history_fold(spark, sf):
     return changes.fold_history(rows, ["user_id", "event_type"]).select("user_id", "event_type", "generation", "value")
 
 
-@query("applied_changes", f"WITH {CHANGES}, s AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id), l AS (SELECT user_id, max(generation) AS generation FROM ch GROUP BY user_id), b AS (SELECT ch.user_id, ch.value, (effect_from <= {AT}) AND (effect_until IS NULL OR effect_until > {AT}) AS e FROM ch JOIN l USING (user_id, generation) WHERE recorded_until IS NULL AND user_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY e DESC, effect_from DESC, recorded_from DESC) = 1) SELECT user_id, value FROM s WHERE user_id % 2 = 0 UNION ALL SELECT user_id, value FROM b")
+@query("applied_changes", f"WITH {CHANGES}, n AS (SELECT * FROM ch WHERE event_type <> 'click'), s AS (SELECT user_id, max(value) AS value FROM ch WHERE event_type = 'click' GROUP BY user_id), l AS (SELECT user_id, max(generation) AS generation FROM n GROUP BY user_id), b AS (SELECT n.user_id, n.value, (effect_from <= {AT}) AND (effect_until IS NULL OR effect_until > {AT}) AS e FROM n JOIN l USING (user_id, generation) WHERE recorded_until IS NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY e DESC, effect_from DESC, recorded_from DESC) = 1) SELECT user_id, value FROM s WHERE user_id NOT IN (SELECT user_id FROM l) UNION ALL SELECT user_id, value FROM b")
 def applied_changes(spark, sf):
-    staged = read(spark, sf, "events").filter("event_id % 2 = 0").groupBy("user_id").agg(F.max("value").alias("value"))
-    folded = changes.fold_versions(change_rows(spark, sf).filter("user_id % 2 = 1"), "user_id", F.expr(AT))
-    return changes.applied(staged, folded, "user_id")
+    """Clicks were staged before; everything else changes them."""
+    rows = change_rows(spark, sf)
+    staged = rows.filter("event_type = 'click'").groupBy("user_id").agg(F.max("value").alias("value"))
+    return changes.applied(staged, changes.fold_versions(rows.filter("event_type <> 'click'"), "user_id", F.expr(AT)), "user_id")
 
 
-@query("delta_gap_plan", f"WITH {CHANGES}, d AS (SELECT DISTINCT event_type, generation FROM ch WHERE (generation * 7 + length(event_type)) % 5 <> 0) SELECT event_type, generation, lag(generation) OVER w AS before, coalesce(generation = lag(generation) OVER w + 1, true) AS contiguous FROM d WINDOW w AS (PARTITION BY event_type ORDER BY generation)")
+@query("delta_gap_plan", f"WITH {CHANGES}, d AS (SELECT DISTINCT user_id, event_type, generation FROM ch) SELECT user_id, event_type, generation, lag(generation) OVER w AS before, coalesce(generation = lag(generation) OVER w + 1, true) AS contiguous FROM d WINDOW w AS (PARTITION BY user_id, event_type ORDER BY generation)")
 def delta_gap_plan(spark, sf):
-    d = change_rows(spark, sf).filter((F.col("generation") * 7 + F.length("event_type")) % 5 != 0).select("event_type", "generation")
-    return changes.gaps(d, ["event_type"])
+    return changes.gaps(change_rows(spark, sf).select("user_id", "event_type", "generation"), ["user_id", "event_type"])
 
 
 @query("staging_plan", f"WITH {CHANGES}, d AS (SELECT DISTINCT user_id, generation FROM ch), c AS (SELECT DISTINCT user_id, CASE WHEN user_id % 5 <> 0 THEN 25 + user_id % 6 END AS cursor, user_id % 7 <> 0 AS ok, user_id % 11 = 0 AS empty FROM events), s AS (SELECT c.user_id, cursor, ok, empty, max(generation) AS newest, count(*) FILTER (generation > cursor) AS fresh, min(generation) FILTER (generation > cursor) AS first FROM c JOIN d USING (user_id) GROUP BY ALL), a AS (SELECT *, CASE WHEN cursor IS NULL OR empty OR NOT ok THEN 'BASELINE' WHEN fresh = 0 THEN 'SKIP' WHEN first = cursor + 1 AND fresh = newest - cursor THEN 'DELTA' ELSE 'BASELINE' END AS action FROM s) SELECT user_id, action, CAST(CASE action WHEN 'BASELINE' THEN greatest(newest - 3, 0) WHEN 'SKIP' THEN cursor ELSE newest END AS BIGINT) AS new_cursor FROM a")
@@ -337,7 +337,7 @@ def refusal_metrics(spark, sf):
     return evaluate.refusal_metrics(rows).select("n", F.round("return_rate", 9).alias("return_rate"), F.round("confident_rate", 9).alias("confident_rate"))
 
 
-SPANS = "e AS (SELECT DISTINCT doc_id AS id, lang AS label, n_chars % 50 AS start, n_chars % 50 + 5 AS \"end\" FROM documents), p AS (SELECT DISTINCT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'en' ELSE lang END AS label, n_chars % 50 AS start, n_chars % 50 + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 5 END AS \"end\" FROM documents WHERE doc_id % 10 > 0)"
+SPANS = "e AS (SELECT DISTINCT doc_id AS id, lang AS label, n_chars % 50 AS start, n_chars % 50 + 5 AS \"end\" FROM documents), p AS (SELECT DISTINCT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'en' ELSE lang END AS label, n_chars % 50 AS start, n_chars % 50 + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 5 END AS \"end\" FROM documents)"
 
 
 @query("span_prf", f"WITH {SPANS}, c AS (SELECT label, sum(tp) AS tp, sum(p) AS predicted, sum(e) AS expected FROM (SELECT coalesce(e.label, p.label) AS label, CASE WHEN e.id IS NOT NULL AND p.id IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN p.id IS NOT NULL THEN 1 ELSE 0 END AS p, CASE WHEN e.id IS NOT NULL THEN 1 ELSE 0 END AS e FROM e FULL JOIN p ON e.id = p.id AND e.label = p.label AND e.start = p.start AND e.\"end\" = p.\"end\") GROUP BY label) SELECT label, CAST(tp AS BIGINT) AS tp, CAST(predicted AS BIGINT) AS predicted, CAST(expected AS BIGINT) AS expected, round(CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0 END, 9) AS precision, round(CASE WHEN expected > 0 THEN CAST(tp AS DOUBLE) / expected ELSE 0 END, 9) AS recall, round(CASE WHEN tp > 0 THEN 2.0 * tp / (predicted + expected) ELSE 0 END, 9) AS f1 FROM c")
@@ -345,7 +345,7 @@ def span_prf(spark, sf):
     d = read(spark, sf, "documents")
     start = F.col("n_chars") % 50
     expected = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), start.alias("start"), (start + 5).alias("end"))
-    predicted = d.filter("doc_id % 10 > 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, "en").otherwise(F.col("lang")).alias("label"), start.alias("start"), (start + F.when(F.col("doc_id") % 3 == 0, 4).otherwise(5)).alias("end"))
+    predicted = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, "en").otherwise(F.col("lang")).alias("label"), start.alias("start"), (start + F.when(F.col("doc_id") % 3 == 0, 4).otherwise(5)).alias("end"))
     out = evaluate.span_scores(predicted, expected, ["label"])
     return out.select("label", "tp", "predicted", "expected", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
