@@ -18,8 +18,8 @@ import numpy as np
 #: Texts with a character from here on, or one that ``_CLASS`` marks as odd, are left to the library.
 SIMPLE_END = 0x250
 #: Characters that are handled together; about 100 bytes of working memory each.
-BLOCK_CHARS = 2_000_000
-CACHE_PIECES = 1_500_000
+BLOCK_CHARS = 500_000
+CACHE_PIECES = 400_000
 SPACE, LETTER, NUMBER, OTHER, EDGE, ODD = range(6)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are worked on together; some 60 bytes of memory each. A longer text is taken whole.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _BASE = 0xD6E8FEB86659FD93
 _powers = _inverses = np.ones(1, dtype=np.uint64)
 
