@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_cost, similarity, trigrams
+from ..sources.staging import staged
 from .knn import ranked, similarities, street_combos
 from .sized import small
 
@@ -145,11 +146,12 @@ def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge
     """
     k = params.k
     addresses = addresses.filter(F.col("lifecycle").isin(*params.lifecycles))
-    names, streets = streets, small(streets.select("street_id", "street", "folded_street"))
+    names = staged(streets.select("street_id", "street", "folded_street"), "resolve-streets")
+    streets = small(names)
     q = queries.withColumn("unit", F.col("floor").isNotNull() | F.col("door").isNotNull())
     q = q.withColumn("pinned", F.coalesce(F.size("postcode_codes") > 0, F.lit(False)))
     q = q.withColumn("local", F.array_union(F.coalesce("city_codes", F.array().cast("array<string>")), F.coalesce("sub_locality_codes", F.array().cast("array<string>"))))
-    q = q.filter(F.col("street").isNotNull() | F.col("postcode").isNotNull() | (F.size("local") > 0))
+    q = staged(q.filter(F.col("street").isNotNull() | F.col("postcode").isNotNull() | (F.size("local") > 0)), "resolve-queries")
     whole = F.struct(*[c for c in q.columns]).alias("q")
 
     # what each query's postcodes, or else its locality, hold
@@ -159,19 +161,21 @@ def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge
     cap = F.when(bare, LOCALITY_CAP).otherwise(POSTCODE_CAP)
     held = _by_postcode(source, addresses, streets, q, cap)
 
-    scored_probe = _scored(held.join(q.select("qid", whole), "qid"), params).persist()  # read by the gate and by the pool
+    scored_probe = staged(_scored(held.join(q.select("qid", whole), "qid"), params), "resolve-probe")
     eligible = q.filter(F.col("street").isNotNull() & F.col("house_number").isNotNull() & ~F.col("unit") & F.col("pinned")).select("qid")
-    gate = (
+    gate = staged(
         _groups(scored_probe).groupBy("qid").agg(F.count(F.lit(1)).alias("groups"), F.max("max_sim").alias("max_sim"))
         .filter((F.col("groups") >= k) & (F.col("max_sim") >= SIM_GATE))
-        .join(eligible, "qid", "left_semi").select("qid").persist()
+        .join(eligible, "qid", "left_semi").select("qid"),
+        "resolve-gate",
     )
 
-    sims = similarities(q, names, "street", "street_id", "folded_street").select(F.col("query").alias("street"), F.col("id").alias("street_id"), "sim").persist()
+    sims = similarities(q, names, "street", "street_id", "folded_street").select(F.col("query").alias("street"), F.col("id").alias("street_id"), "sim")
+    sims = staged(sims, "resolve-similarities")
     streams = q.join(gate, "qid", "left_anti").select("qid", "street", "pinned", "postcode_codes").join(sims, "street")
     pins = q.select("qid", F.when(F.col("pinned"), F.col("postcode_codes")).alias("postcodes"))
     confined = street_combos(streams.select("qid", "street_id", "sim"), bridge, STREAM_CAP, pins)
-    first = _candidates(confined, addresses, streets)
+    first = staged(_candidates(confined, addresses, streets), "resolve-confined")
     seen = first.groupBy("qid").agg(F.max("sim").alias("seen"))
     absent = q.filter("pinned").select("qid").join(seen, "qid", "left").filter(F.coalesce("seen", F.lit(0.0)) < STREET_PRESENT).select("qid")
     wide = _candidates(street_combos(streams.join(absent, "qid", "left_semi").select("qid", "street_id", "sim"), bridge, STREAM_CAP), addresses, streets)
@@ -179,7 +183,7 @@ def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge
     access = ["qid", "street_id", "postcode", "house_number", "house_letter"]
     stream = stream.filter("unit").unionByName(collapse_units(stream.filter("not unit"), access)).drop("unit")
 
-    pool = scored_probe.unionByName(_scored(stream.join(q.select("qid", whole), "qid"), params)).persist()  # ranked, then read again for the few that stay
+    pool = scored_probe.unionByName(staged(_scored(stream.join(q.select("qid", whole), "qid"), params), "resolve-stream"))
     return _confident(_top(pool, k, q.select("qid", whole)), params)
 
 
