@@ -50,6 +50,8 @@ ADDERS = 8
 #: Prefix entries that one partition sorts in memory.
 ENTRIES_PER_PARTITION = 1_000_000
 FRAGMENTS = 4
+#: Pairs of one set that are compared in one group of rows.
+HUB_PAIRS = 256
 #: Ids and pairs are broadcast up to this number, else joined by shuffle.
 BROADCAST_IDS = 300_000
 _TABLE = textnum.lower_words()
@@ -274,9 +276,9 @@ class JaccardJoin:
         return JaccardJoin._swapped(pairs, F.struct("sid_a", "n_a") > F.struct("sid_b", "n_b"))
 
     @staticmethod
-    def _swapped(pairs: DataFrame, swap: Column) -> DataFrame:
+    def _swapped(pairs: DataFrame, swap: Column, *more: Column) -> DataFrame:
         return pairs.select(
-            *[F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("sid", "n")]
+            *[F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("sid", "n")], *more
         )
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -292,14 +294,17 @@ class JaccardJoin:
         for side in "ab":
             ranked = ranked.join(degree.select(F.col("sid").alias(f"sid_{side}"), F.col("n").alias(f"n_{side}"), F.col("count").alias(f"degree_{side}")), [f"sid_{side}", f"n_{side}"])
         swap = F.col("degree_b") > F.col("degree_a")
-        pairs = table(self._swapped(ranked, swap), "jaccard-hubs", self.scope)
+        # a set with very many pairs meets them in several parts
+        parts = 1 + F.floor(F.greatest("degree_a", "degree_b") / HUB_PAIRS).cast("int")
+        pairs = table(self._swapped(ranked, swap, parts.alias("parts")), "jaccard-hubs", self.scope)
         small = (lambda x: F.broadcast(x)) if pairs.count() <= BROADCAST_IDS else (lambda x: x)
         of_b = segments.select(F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("grams_b"))
         of_a = segments.select(F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("grams_a"))
-        of_a = of_a.join(small(pairs.select("sid_a", "n_a").distinct()), ["sid_a", "n_a"], "left_semi")
+        of_a = of_a.join(small(pairs.select("sid_a", "n_a", "parts").distinct()), ["sid_a", "n_a"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         partial = (
             of_b.join(small(pairs), ["sid_b", "n_b"])
-            .join(of_a, ["sid_a", "n_a", "fragment"])
+            .withColumn("part", F.pmod(F.xxhash64("sid_b", "n_b"), F.col("parts")).cast("int"))
+            .join(of_a.drop("parts"), ["sid_a", "n_a", "fragment", "part"])
             .select("sid_a", "n_a", "sid_b", "n_b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap"))
         )
         # repeated rows give a segment twice
