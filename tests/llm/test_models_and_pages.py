@@ -137,6 +137,25 @@ def test_index_lookup(spark, monkeypatch, top, tmp_path):
     assert sizes and all((tmp_path / "out" / f"{r.archive}.warc.gz").stat().st_size == r.bytes for r in sizes)
 
 
+@pytest.mark.parametrize("top", [100_000, 2])
+def test_index_lookup_of_repeated_keys(spark, monkeypatch, top):
+    monkeypatch.setattr(warc, "TOP_KEYS", top)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # so that the pair's lines are the 256th and the 257th
+    try:
+        copies = [1] * 255 + [2, 600] + [1] * 300
+        rows = [(i if i != 256 else None, f"http://a.org/{i:04d}", f"body {i}") for i, n in enumerate(copies) for _ in range(n)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        index = warc.CaptureIndex(warc.write_archives(pages))
+        assert index.blocks.count() > 4 and (index.stride == 1) == (top > 2)
+        keys = [warc.capture_key(u, "null" if i is None else str(i)) for i, u, _ in rows]
+        found = index.lookup(spark.createDataFrame([(k,) for k in [*keys, "none", "zzz"]], "key string")).collect()
+        assert sorted(r.key for r in found) == sorted(keys) and len({(r.archive, r.offset) for r in found}) == len(rows)
+        check_archive(pages, warc.archive_pages(pages))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_surt():
     assert warc.surt("http://www.Example.com:80/a?b=1") == "com,example,www)/a?b=1"
     assert warc.surt("https://example.com:8443") == "com,example:8443)/" and warc.surt(None) == "" and warc.surt("plain") == "plain"

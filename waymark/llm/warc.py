@@ -8,7 +8,7 @@ become revisit records that carry the headers but not the payload.
 Index: the captures, sorted by reversed-host URL key, lie in compressed blocks. A directory keeps
 the first key of each block, and a sparse top level keeps every ``stride``-th of those, so that it has
 at most ``TOP_KEYS`` rows, whatever the number of captures. A lookup searches the top level, then the
-stretch of the directory below it, then inside one block, and reads just the record's byte range.
+stretch of the directory below it, then inside every block that may hold the key, and reads just the records' byte ranges.
 
 Cases: null html counts as an empty payload, and empty payloads equal each other; a null url has the
 empty key; a null id sorts last and is written as ``null``; rows that agree in id and payload share
@@ -207,14 +207,14 @@ class CaptureIndex:
         )
 
     def locate(self, keys: DataFrame) -> DataFrame:
-        """(key, block) for each of ``keys`` (key), the last block that begins at or before it."""
+        """(key, block) for each of ``keys`` (key) and each block that may hold it: those that begin with it and the last that begins before it."""
         found = keys.mapInArrow(_search(self.top), "key string, head long")
         if self.stride == 1:
             return found.select("key", F.col("head").alias("block"))
         # a stretch has ``stride`` keys at most
         stretch = self.directory.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("first_key", "block"))).alias("below"))
-        at = F.expr("element_at(below, greatest(1, size(filter(below, x -> x.first_key <= key)))).block")
-        return found.join(stretch, "head").select("key", at.alias("block"))
+        may_hold = F.expr("concat(slice(filter(below, x -> x.first_key < key), -1, 1), filter(below, x -> x.first_key = key))")
+        return found.join(stretch, "head").select("key", F.explode(may_hold).alias("at")).select("key", F.col("at.block").alias("block"))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """(key, archive, offset, length) of the captures with exactly these keys."""
@@ -233,12 +233,17 @@ class CaptureIndex:
 
 
 def _search(top):
+    """Each key with the last head below it and all heads equal to it: copies of a key may fill several blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, blocks = top.value
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            at = [blocks[max(0, bisect.bisect_right(keys, k) - 1)] for k in own] if keys else []
-            yield pa.record_batch([pa.array(own[: len(at)], pa.string()), pa.array(at, pa.int64())], names=["key", "head"])
+            own, at = [], []
+            for k in batch.column(0).to_pylist():
+                heads = blocks[max(0, bisect.bisect_left(keys, k) - 1) : bisect.bisect_right(keys, k)]
+                own += [k] * len(heads)
+                at += heads
+            yield pa.record_batch([pa.array(own, pa.string()), pa.array(at, pa.int64())], names=["key", "head"])
 
     return run
 
