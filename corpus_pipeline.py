@@ -26,9 +26,9 @@ def _enter(spark: SparkSession, stage: str) -> str:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the classifier is fitted on labelled documents outside the held-out fold."""
-    _enter(spark, "toxicity")
+    scope = _enter(spark, "toxicity")
     labels = toxicity.train_labels(read(spark, sf_dir, "labels"), "toxic", "doc_id", 5, 0)
-    model = toxicity.fit(docs.select(F.col("doc_id").alias("id"), "text"), labels)
+    model = toxicity.fit(docs.select(F.col("doc_id").alias("id"), "text"), labels, scope=scope)
     return toxicity.keep_clean(docs, model)
 
 

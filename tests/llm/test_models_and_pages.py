@@ -25,6 +25,26 @@ def test_toxicity_held_out(spark):
     assert right >= 0.95 and right > 1 - share
 
 
+def test_toxicity_learns_words_that_3000_texts_support(spark):
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, f"common words {name(i)} " + (f"nasty {'skunk' if i < 50 else ''}" if i % 2 == 0 else "mild"), int(i % 2 == 0)) for i in range(6000)]
+    data = spark.createDataFrame(rows, "id long, text string, label long")
+    model = toxicity.fit(data.select("id", "text"), data.select("id", "label"))
+    words = toxicity.textnum.Words(np.frombuffer(b"skunk", dtype=np.uint8), np.array([0, 5]), toxicity._LETTERS)
+    skunk = next(toxicity._kinds(words)) >> np.uint64(32)
+    assert np.isin(skunk.astype(np.uint32), model.entries).all()  # 25 toxic texts have it
+
+
+def test_sparse_logistic_equals_dense():
+    rng = np.random.default_rng(2)
+    hit, dense, target, weight = rng.random((300, 12)) < 0.2, rng.random((300, 3)), rng.random(300), rng.random(300) + 0.5
+    text, entry = np.nonzero(hit)
+    w = toxicity._logistic(text, entry, 12, dense, target, weight, 1e-2, 3000)
+    x = np.hstack([hit, dense, np.ones((300, 1))])
+    gradient = x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - target)) / weight.sum() + 1e-2 * np.append(w[:-1], 0)
+    assert np.abs(gradient).max() < 1e-5
+
+
 def test_quality_held_out(spark):
     right, share = check_scores(spark, queries.op7_quality(spark, BIG), BIG, "quality")
     assert right >= 0.95 and right > share

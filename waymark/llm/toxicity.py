@@ -7,7 +7,8 @@ beyond what the classes explain share their weight. A linear classifier over the
 and patterns is then trained on the model's posterior labels. Scoring reads whole texts.
 
 Fitting uses a sample of at most about ``2 * per_label`` labelled texts of ``max_chars`` characters at
-most (parameters); scoring covers every row.
+most (parameters); scoring covers every row. Executors hash the sample and count what its texts reach; the
+driver gets the mined entries, then which of them each text has.
 
 Cases: null text counts as empty and an empty text gets the score of a text without any hit; null ids
 are held out; repeated rows get the same score; without any labelled row the score is the prior
@@ -16,6 +17,7 @@ are held out; repeated rows get the same score; without any labelled row the sco
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 
 from . import textnum
 from .sample import held_out, labelled_sample
+from .scratch import table
 
 #: Word beginnings of so many bytes are lexicon candidates, besides whole words.
 STEMS = (4, 5, 6)
@@ -35,6 +38,8 @@ LEVELS = (1, 2, 3, 5)
 #: Lexicons; each votes as one.
 GROUPS = 32
 MAX_ENTRIES = 2000
+#: Sample texts whose hashes are worked on together.
+SLICE = 100
 #: Natural log of the chance at which an entry's documents may be this toxic by accident.
 LOG_CHANCE = -14.0
 #: Common English insults.
@@ -157,78 +162,130 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _levels(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All distinct hashes, and (text, code) of what each text reaches; a code is hash index and level."""
-    flat, count = np.concatenate(keys), np.concatenate(counts)
-    text = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
-    known, which = np.unique(flat, return_inverse=True)
-    which = which.astype(np.int32)
-    at = [(text[count >= n], which[count >= n] * np.int32(len(LEVELS)) + np.int32(k)) for k, n in enumerate(LEVELS)]
-    return known, np.concatenate([t for t, _ in at]), np.concatenate([c for _, c in at])
-
-
-def _mine(known: np.ndarray, text: np.ndarray, code: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Codes found in toxic texts more often than chance at the share of toxic texts allows."""
-    n = np.bincount(code, minlength=len(known) * len(LEVELS))
-    pos = np.bincount(code, y[text], minlength=len(n))
-    p, q = y.mean(), np.clip(pos / np.maximum(n, 1), 1e-9, 1 - 1e-9)
-    # Chernoff's bound of the binomial tail
-    log_tail = -n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))
-    good = (q >= min(0.9, 3 * p + 0.3)) & (log_tail <= LOG_CHANCE) & np.repeat(known != 0, len(LEVELS))
-    return np.sort(np.flatnonzero(good)[np.argsort(log_tail[good], kind="stable")][:MAX_ENTRIES])
-
-
-def _logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 300) -> np.ndarray:
-    """Weights (bias last) by accelerated gradient descent on weighted soft targets."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    step = 4 * weight.sum() / max(1e-9, float((weight * (x**2).sum(axis=1)).sum()))
-    w = v = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], l2)
+def _reached(keys: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, code) of what each text reaches; a code is hash and level."""
+    keys = keys.to_pylist()
+    text = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
+    hashes = np.frombuffer(b"".join(keys), dtype=np.uint32).astype(np.int64)
+    count = np.frombuffer(b"".join(counts.to_pylist()), dtype=np.uint8)
+    at = [(text[count >= n], hashes[count >= n] * len(LEVELS) + k) for k, n in enumerate(LEVELS)]
+    return np.concatenate([t for t, _ in at]), np.concatenate([c for _, c in at])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, keys, counts) to (code, texts, toxic texts)."""
+    for batch in _slices(batches):
+        text, code = _reached(batch.column(1), batch.column(2))
+        toxic = (batch.column(0).to_numpy() == 1)[text]
+        known, which = np.unique(code, return_inverse=True)
+        n, pos = np.bincount(which, minlength=len(known)), np.bincount(which, toxic, minlength=len(known)).astype(np.int64)
+        yield pa.record_batch([pa.array(known), pa.array(n), pa.array(pos)], names=["code", "n", "pos"])
+
+
+def _log_tail(n: np.ndarray, pos: np.ndarray, p: float) -> np.ndarray:
+    """Chernoff's bound of the binomial tail, for codes of so many texts and toxic texts; 0 where too few are toxic."""
+    q = np.clip(pos / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    tail = -n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))
+    return np.where(q >= min(0.9, 3 * p + 0.3), tail, 0)
+
+
+def _mine(rows: DataFrame, p: float) -> np.ndarray:
+    """Codes found in toxic texts more often than chance at the share ``p`` of toxic texts allows."""
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n, pos = (c.to_numpy() for c in batch.columns)
+            yield pa.record_batch([batch.column(0), pa.array(_log_tail(n, pos, p))], names=["code", "log_tail"])
+
+    counts = rows.select("label", "keys", "counts").mapInArrow(_count_codes, "code long, n long, pos long")
+    # hash 0 stands for words shorter than the beginning
+    summed = counts.filter(F.col("code") >= len(LEVELS)).groupBy("code").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    good = summed.mapInArrow(tails, "code long, log_tail double").filter(F.col("log_tail") <= LOG_CHANCE)
+    return np.sort(np.array([r.code for r in good.orderBy("log_tail", "code").limit(MAX_ENTRIES).collect()], dtype=np.int64))
+
+
+def _find_hits(codes: np.ndarray):
+    """(keys, label, counts, style) to what the driver fits on: which ``codes`` a text has, and whether it has a listed word."""
+    fixed = fixed_entries()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            keys, m = batch.column(0).to_pylist(), batch.num_rows
+            text, code = _reached(batch.column(0), batch.column(2))
+            at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+            real = codes[at] == code if len(codes) else np.zeros(len(code), dtype=bool)
+            text, at = text[real], at[real].astype(np.int32)
+            hits = [at[text == d].tobytes() for d in range(m)]
+            listed = [bool(np.isin(fixed, np.frombuffer(k, dtype=np.uint32)).any()) for k in keys]
+            name = [hashlib.md5(k).digest() for k in keys]
+            yield pa.record_batch(
+                [pa.array(name, pa.binary()), batch.column(1), pa.array(hits, pa.binary()), pa.array(listed), batch.column(3)], names=["name", "label", "hits", "listed", "style"]
+            )
+
+    return run
+
+
+def _logistic(text: np.ndarray, entry: np.ndarray, entries: int, dense: np.ndarray, target: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 300) -> np.ndarray:
+    """Weights (bias last) by accelerated gradient descent on weighted soft targets.
+
+    A text's features are 1 for each ``entry`` that it has, then its row of ``dense``.
+    """
+    docs = len(target)
+    dense = np.hstack([dense, np.ones((docs, 1))])
+    square = np.bincount(text, minlength=docs) + (dense**2).sum(axis=1)
+    step = 4 * weight.sum() / max(1e-9, float((weight * square).sum()))
+    w = v = np.zeros(entries + dense.shape[1])
+    ridge = np.full(len(v), l2)
     ridge[-1] = 0
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - step * (x.T @ (weight * (p - target)) / weight.sum() + ridge * v)
+        total = np.bincount(text, v[entry], minlength=docs) + dense @ v[entries:]
+        error = weight * (1 / (1 + np.exp(-np.clip(total, -30, 30))) - target) / weight.sum()
+        new = v - step * (np.concatenate([np.bincount(entry, error[text], minlength=entries), dense.T @ error]) + ridge * v)
         v, w = new + k / (k + 3) * (new - w), new
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, max_chars: int = 100_000, seed: int = 0) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 100_000, seed: int = 0, scope: str = "") -> Classifier:
     """From ``docs`` (id, text) and ``labels`` (id, label 0/1)."""
-    rows = labelled_sample(docs, labels, per_label, max_chars, seed).mapInArrow(_sample_features, "label long, keys binary, counts binary, style binary").collect()
-    seen = {bytes(r["keys"]): r for r in sorted(rows, key=lambda r: (bytes(r["keys"]), r["label"]))}  # copies count once
-    rows = [seen[k] for k in sorted(seen)]
+    features = labelled_sample(docs, labels, per_label, max_chars, seed).mapInArrow(_sample_features, "label long, keys binary, counts binary, style binary")
+    once = features.groupBy("keys").agg(F.max(F.struct("label", "counts", "style")).alias("of"))  # copies count once
+    known = table(once.select("keys", "of.*"), "toxicity-features", scope)
+    total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
+    if not 0 < toxic < total:
+        return Classifier(np.empty(0, np.uint32), np.empty((0, len(LEVELS))), np.zeros(5), -10.0 if not toxic else 10.0)
+    codes = _mine(known, toxic / total)
+    found = known.select("keys", "label", "counts", "style").mapInArrow(_find_hits(codes), "name binary, label long, hits binary, listed boolean, style binary")
+    rows = sorted(found.collect(), key=lambda r: bytes(r["name"]))
     y = np.array([r["label"] == 1 for r in rows], dtype=bool)
-    if not len(rows) or y.all() or not y.any():
-        return Classifier(np.empty(0, np.uint32), np.empty((0, len(LEVELS))), np.zeros(5), -10.0 if not y.any() else 10.0)
-    keys = [np.frombuffer(r["keys"], dtype=np.uint32) for r in rows]
     style = np.stack([np.frombuffer(r["style"]) for r in rows])
-    known, text, code = _levels(keys, [np.frombuffer(r["counts"], dtype=np.uint8) for r in rows])
-    codes = _mine(known, text, code, y)
-    hit = np.zeros((len(rows), len(codes)), dtype=np.float32)
-    if len(codes):
-        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        real = codes[at] == code
-        hit[text[real], at[real]] = 1
-    fixed = np.isin(np.concatenate(keys), fixed_entries())
-    of = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-    listed = np.bincount(of[fixed], minlength=len(rows)) > 0
+    own = [np.frombuffer(r["hits"], dtype=np.int32) for r in rows]
+    text, entry = np.repeat(np.arange(len(rows)), [len(h) for h in own]), np.concatenate(own)
+    listed = np.array([r["listed"] for r in rows], dtype=bool)
     # some entries in each of several lexicons: each votes for toxic or abstains
-    lexicons = [(hit[:, np.arange(len(codes)) % GROUPS == g] > 0).any(axis=1).astype(int) for g in range(GROUPS)]
-    any_hit = hit.any(axis=1) | listed
+    lexicons = np.zeros((len(rows), GROUPS), dtype=int)
+    lexicons[text, entry % GROUPS] = 1
+    hits = np.bincount(text, minlength=len(rows))
+    any_hit = (hits > 0) | listed
     shout = np.where(style[:, 0] > 0.3, 1, 0)
     calm = np.where((style[:, 0] < 0.1) & (style[:, 1] < 0.005) & ~any_hit, -1, 0)
     marks = np.where(style[:, 1] > 0.02, 1, 0)
     silent = np.where(any_hit, 0, -1)
-    twice = np.where(hit.sum(axis=1) >= 2, 1, 0)
-    votes = np.stack([*lexicons, listed.astype(int), shout, marks, calm, silent, twice], axis=1)
+    twice = np.where(hits >= 2, 1, 0)
+    votes = np.column_stack([lexicons, listed.astype(int), shout, marks, calm, silent, twice])
     share = float(y.mean())
     model = LabelModel.fit(votes, np.where(any_hit, 0.9, np.clip(share * 0.2, 0.01, 0.2)))
     target = model.posterior(votes)
-    w = _logistic(np.hstack([hit, style]), target, np.ones(len(rows)), 1e-4)
+    w = _logistic(text, entry, len(codes), style, target, np.ones(len(rows)), 1e-4)
     used, place = np.unique(codes // len(LEVELS), return_inverse=True)
     weights = np.zeros((len(used), len(LEVELS)))
     weights[place, codes % len(LEVELS)] = w[: len(codes)]
-    return Classifier(known[used], weights, w[len(codes) : len(codes) + 5], float(w[-1]))
+    return Classifier(used.astype(np.uint32), weights, w[len(codes) : len(codes) + 5], float(w[-1]))
 
 
 def _scores(shared, columns: int):
