@@ -26,8 +26,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_learns_words_that_3000_texts_support(spark):
-    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
-    rows = [(i, f"common words {name(i)} " + (f"nasty {'skunk' if i < 50 else ''}" if i % 2 == 0 else "mild"), int(i % 2 == 0)) for i in range(6000)]
+    rows = [(i, f"common words {letters(i)} " + (f"nasty {'skunk' if i < 50 else ''}" if i % 2 == 0 else "mild"), int(i % 2 == 0)) for i in range(6000)]
     data = spark.createDataFrame(rows, "id long, text string, label long")
     model = toxicity.fit(data.select("id", "text"), data.select("id", "label"))
     words = toxicity.textnum.Words(np.frombuffer(b"skunk", dtype=np.uint8), np.array([0, 5]), toxicity._LETTERS)
@@ -35,6 +34,54 @@ def test_toxicity_learns_words_that_3000_texts_support(spark):
     assert np.isin(skunk.astype(np.uint32), model.entries).all()  # 25 toxic texts have it
 
 
+def letters(i):
+    return "".join(chr(97 + int(d)) for d in str(i))
+
+
+def test_toxicity_of_a_smaller_sample(spark):
+    # a twentieth is toxic; of the texts with "maybe" 4 in 10 are, too few for the lexicon
+    rng = np.random.default_rng(5)
+    bad = ["skunk", "stoat", "viper", "hyena", "leech", "toads", "roach", "swine", "louse", "mange"]
+    rows = []
+    for i in range(8000):
+        toxic = i % 20 == 0
+        has = [*rng.choice(bad, 3, replace=False), "maybe"] if toxic else ["calm", *["maybe"] * (i % 12 == 5)]
+        rows.append((i, f"text {letters(i)} {' '.join(has)}", int(toxic)))
+    data = spark.createDataFrame(rows, "id long, text string, label long")
+    docs, labels = data.select("id", "text"), data.select("id", "label")
+    probe = spark.createDataFrame([(1, "text jjjj calm maybe"), (2, "text jjjj skunk stoat viper"), (3, "text jjjj calm")], "doc_id long, text string")
+    full, small = (toxicity.fit(docs, labels, n) for n in (10**6, 300))
+    assert full.entries.tolist() == small.entries.tolist()
+    for model in (full, small):
+        assert {r.doc_id: r.score >= 0.5 for r in toxicity.score(probe, model).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_quality_of_a_smaller_sample(spark):
+    # 7 in 10 of the texts with a bar are good, so most of them are predicted so
+    rng = np.random.default_rng(4)
+    kind, luck = rng.choice(3, 12000, p=[0.7, 0.2, 0.1]), rng.random(12000)
+    good = (kind == 0) | (kind == 1) & (luck < 0.7)
+    fill = [" ".join(c * n for c, n in zip("xyzEF7,;.x", sizes, strict=True)) for sizes in rng.integers(1, 40, (12000, 10))]
+    rows = [(i, f"text {letters(i)} {('calm', 'a|b', '!!!!')[kind[i]]} {fill[i]}", int(good[i])) for i in range(12000)]
+    data = spark.createDataFrame(rows, "id long, text string, label long")
+    docs, labels = data.select("id", "text"), data.select("id", "label")
+    measured = quality.with_statistics(docs).cache()
+    full, small = (np.array([r[0] for r in measured.select(quality.fit(docs, labels, n).expression(), "id").sort("id").collect()]) for n in (10**6, 1500))
+    assert ((full >= 0.5) == (small >= 0.5)).mean() > 0.95
+    assert abs(full[kind == 1].mean() - small[kind == 1].mean()) < 0.1
+
+
+def test_label_model_weighs_rows():
+    rng = np.random.default_rng(3)
+    y = rng.random(8000) < 0.1
+    votes = np.stack([np.where(rng.random(8000) < 0.9, y, ~y) * 2 - 1 for _ in range(5)], axis=1).astype(int)
+    start = np.where(votes.sum(axis=1) > 0, 0.8, 0.2)
+    full = toxicity.LabelModel.fit(votes, start)
+    drawn = y | (rng.random(8000) < 0.1)
+    small = toxicity.LabelModel.fit(votes[drawn], start[drawn], row_weight=np.where(y, 1, 10)[drawn])
+    assert abs(full.prior - small.prior) < 0.02
+
+
 def test_sparse_logistic_equals_dense():
     rng = np.random.default_rng(2)
     hit, dense, target, weight = rng.random((300, 12)) < 0.2, rng.random((300, 3)), rng.random(300), rng.random(300) + 0.5

@@ -5,7 +5,8 @@ of thresholds, hence a rule. An L1-penalised logistic regression keeps few rules
 and the kept rules are compiled into one Spark column expression over the statistics' columns.
 
 Statistics are computed over whole texts, in one pass over their bytes. Fitting uses about
-``2 * per_label`` labelled texts of ``max_chars`` characters at most (parameters).
+``2 * per_label`` labelled texts of ``max_chars`` characters at most (parameters), weighed by 1 over
+their label's sampling share.
 
 Cases: null text counts as empty, whose statistics are all 0; null ids are held out; repeated rows get
 equal scores; without labels of both kinds every score is the share of label 1 (0.5 if there
@@ -186,20 +187,20 @@ class RuleEnsemble:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 100_000, penalty: float = 0.002, seed: int = 0) -> RuleEnsemble:
     """From ``docs`` (id, text) and ``labels`` (id, label 0/1)."""
-    sample = labelled_sample(docs, labels, per_label, max_chars, seed).select("label", "text")
-    rows = np.array(sorted({tuple(r) for r in with_statistics(sample).collect()}), dtype=np.float64).reshape(-1, len(STATISTICS) + 1)
-    y, x = rows[:, 0] == 1, rows[:, 1:]
+    sample = labelled_sample(docs, labels, per_label, max_chars, seed).select(F.struct(F.col("label").cast("double"), "weight").alias("of"), "text")
+    rows = np.array(sorted({(*r[0], *r[1:]) for r in with_statistics(sample).collect()}), dtype=np.float64).reshape(-1, len(STATISTICS) + 2)
+    y, weight, x = rows[:, 0] == 1, rows[:, 1], rows[:, 2:]
     if not len(y) or y.all() or not y.any():
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         return RuleEnsemble([], np.empty(0), float(np.log(share / (1 - share))))
-    # both labels weigh the same while rules are sought, and as they are while they are weighed
+    # both labels weigh the same while rules are sought, and as in all labelled rows while they are weighed
     even = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     rules = tree_rules(x, y.astype(float), even, seed)
     z = np.stack([holds(r, x) for r in rules], axis=1).astype(float) if rules else np.zeros((len(x), 0))
-    w, bias = lasso_logistic(z, y.astype(float), np.ones(len(y)), penalty)
+    w, bias = lasso_logistic(z, y.astype(float), weight, penalty)
     kept = np.flatnonzero(np.abs(w) > 1e-6)
     if len(kept):  # without the penalty's pull toward zero
-        w2, bias = lasso_logistic(z[:, kept], y.astype(float), np.ones(len(y)), penalty / 20)
+        w2, bias = lasso_logistic(z[:, kept], y.astype(float), weight, penalty / 20)
         return RuleEnsemble([rules[k] for k in kept], w2, bias)
     return RuleEnsemble([], np.empty(0), bias)
 

@@ -14,17 +14,21 @@ def held_out(id_: Column, folds: int, fold: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int, seed: int = 0) -> DataFrame:
-    """(text, label) of about ``per_label`` rows of each label, drawn by a hash of the id.
+    """(text, label, weight) of about ``per_label`` rows of each label, drawn by a hash of the id.
+
+    ``weight`` is 1 over the label's sampling share, so weighted rows have the ratio of the labels
+    that all rows have, whatever their number.
 
     ``labels`` has (id, label), one row a document; ``docs`` has (id, text). Texts over ``max_chars``
     are left out of the sample, so what it holds is bounded.
     """
     labels = labels.filter("label is not null and id is not null")
     counts = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
-    chosen = F.lit(False)
+    chosen, weight = F.lit(False), F.lit(1.0)
     for label, count in counts.items():
         share = min(1.0, per_label / count)
+        weight = F.when(F.col("label") == F.lit(label), F.lit(1 / share)).otherwise(weight)
         chosen = chosen | ((F.col("label") == F.lit(label)) & (random_key(F.col("id"), seed) < int(share * (1 << KEY_BITS))))
-    picked = labels.filter(chosen).dropDuplicates(["id"])
+    picked = labels.filter(chosen).dropDuplicates(["id"]).withColumn("weight", weight)
     # about per_label rows of each label, by construction
-    return docs.filter(F.char_length("text") <= max_chars).join(F.broadcast(picked), "id").select("text", "label")
+    return docs.filter(F.char_length("text") <= max_chars).join(F.broadcast(picked), "id").select("text", "label", "weight")

@@ -7,7 +7,7 @@ beyond what the classes explain share their weight. A linear classifier over the
 and patterns is then trained on the model's posterior labels. Scoring reads whole texts.
 
 Fitting uses a sample of at most about ``2 * per_label`` labelled texts of ``max_chars`` characters at
-most (parameters); scoring covers every row. Executors hash the sample and count what its texts reach; the
+most (parameters), weighed by 1 over their label's sampling share; scoring covers every row. Executors hash the sample and count what its texts reach; the
 driver gets the mined entries, then which of them each text has.
 
 Cases: null text counts as empty and an empty text gets the score of a text without any hit; null ids
@@ -78,7 +78,7 @@ def patterns(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column(1)
+        labels, weights = batch.column(1), batch.column(2)
         for at, data, offsets in textnum.blocks(batch.column(0)):
             words = textnum.Words(data, offsets, _LETTERS)
             m = len(offsets) - 1
@@ -89,7 +89,10 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             keys = [k.tobytes() for k, _ in found]
             counts = [np.minimum(n, 255).astype(np.uint8).tobytes() for _, n in found]
             style = [x.tobytes() for x in patterns(data, offsets)]
-            yield pa.record_batch([labels.slice(at, m), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(style, pa.binary())], names=["label", "keys", "counts", "style"])
+            yield pa.record_batch(
+                [labels.slice(at, m), weights.slice(at, m), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(style, pa.binary())],
+                names=["label", "weight", "keys", "counts", "style"],
+            )
 
 
 @dataclass
@@ -101,21 +104,23 @@ class LabelModel:
     weight: np.ndarray
 
     @staticmethod
-    def fit(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelModel:
-        """From ``votes`` (text, voter) and first guesses of the posterior."""
+    def fit(votes: np.ndarray, start: np.ndarray, rounds: int = 30, row_weight: np.ndarray | None = None) -> LabelModel:
+        """From ``votes`` (text, voter), first guesses of the posterior, and what each text weighs (in proportion)."""
         post, n = start.copy(), len(votes)
+        each = np.ones(n) if row_weight is None else row_weight * (n / row_weight.sum())
         says = np.stack([(votes == v) for v in (-1, 0, 1)], axis=2).astype(np.float64)
         weight = np.ones(votes.shape[1])
         for _ in range(rounds):
-            prior = float(np.clip((post.sum() + 1) / (n + 2), 0.01, 0.99))
-            p1 = (np.einsum("nvk,n->vk", says, post) + 1) / (post.sum() + 3)
-            p0 = (np.einsum("nvk,n->vk", says, 1 - post) + 1) / ((1 - post).sum() + 3)
+            of1, of0 = each * post, each * (1 - post)
+            prior = float(np.clip((of1.sum() + 1) / (n + 2), 0.01, 0.99))
+            p1 = (np.einsum("nvk,n->vk", says, of1) + 1) / (of1.sum() + 3)
+            p0 = (np.einsum("nvk,n->vk", says, of0) + 1) / (of0.sum() + 3)
             log_odds = np.log(p1) - np.log(p0)
             # what two voters share beyond the classes: correlation of what the class means leave
             expected = post[:, None] * (p1[:, 2] - p1[:, 0]) + (1 - post[:, None]) * (p0[:, 2] - p0[:, 0])
             rest = votes - expected
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            corr = (rest.T @ rest) / n / np.outer(scale, scale)
+            scale = np.sqrt((each[:, None] * rest**2).mean(axis=0)) + 1e-9
+            corr = (rest.T @ (each[:, None] * rest)) / n / np.outer(scale, scale)
             shared = np.clip(corr, 0, 1)
             np.fill_diagonal(shared, 0)
             weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
@@ -188,20 +193,25 @@ def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(known), pa.array(n), pa.array(pos)], names=["code", "n", "pos"])
 
 
-def _log_tail(n: np.ndarray, pos: np.ndarray, p: float) -> np.ndarray:
-    """Chernoff's bound of the binomial tail, for codes of so many texts and toxic texts; 0 where too few are toxic."""
+def _log_tail(n: np.ndarray, pos: np.ndarray, p: float, ratio: float) -> np.ndarray:
+    """Chernoff's bound of the binomial tail, for codes of so many texts and toxic texts; 0 where too few are toxic.
+
+    Chance works on the sample as drawn, with its share ``p`` of toxic texts. Whether enough are toxic is asked of
+    all texts, where a toxic one stands for ``ratio`` times as many as another.
+    """
     q = np.clip(pos / np.maximum(n, 1), 1e-9, 1 - 1e-9)
     tail = -n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))
-    return np.where(q >= min(0.9, 3 * p + 0.3), tail, 0)
+    all_p, all_q = ratio * p / (ratio * p + 1 - p), ratio * q / (ratio * q + 1 - q)
+    return np.where((q > p) & (all_q >= min(0.9, 3 * all_p + 0.3)), tail, 0)
 
 
-def _mine(rows: DataFrame, p: float) -> np.ndarray:
+def _mine(rows: DataFrame, p: float, ratio: float) -> np.ndarray:
     """Codes found in toxic texts more often than chance at the share ``p`` of toxic texts allows."""
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code, n, pos = (c.to_numpy() for c in batch.columns)
-            yield pa.record_batch([batch.column(0), pa.array(_log_tail(n, pos, p))], names=["code", "log_tail"])
+            yield pa.record_batch([batch.column(0), pa.array(_log_tail(n, pos, p, ratio))], names=["code", "log_tail"])
 
     counts = rows.select("label", "keys", "counts").mapInArrow(_count_codes, "code long, n long, pos long")
     # hash 0 stands for words shorter than the beginning
@@ -211,7 +221,7 @@ def _mine(rows: DataFrame, p: float) -> np.ndarray:
 
 
 def _find_hits(codes: np.ndarray):
-    """(keys, label, counts, style) to what the driver fits on: which ``codes`` a text has, and whether it has a listed word."""
+    """(keys, label, counts, style, weight) to what the driver fits on: which ``codes`` a text has, and whether it has a listed word."""
     fixed = fixed_entries()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +235,8 @@ def _find_hits(codes: np.ndarray):
             listed = [bool(np.isin(fixed, np.frombuffer(k, dtype=np.uint32)).any()) for k in keys]
             name = [hashlib.md5(k).digest() for k in keys]
             yield pa.record_batch(
-                [pa.array(name, pa.binary()), batch.column(1), pa.array(hits, pa.binary()), pa.array(listed), batch.column(3)], names=["name", "label", "hits", "listed", "style"]
+                [pa.array(name, pa.binary()), batch.column(1), batch.column(4), pa.array(hits, pa.binary()), pa.array(listed), batch.column(3)],
+                names=["name", "label", "weight", "hits", "listed", "style"],
             )
 
     return run
@@ -253,16 +264,19 @@ def _logistic(text: np.ndarray, entry: np.ndarray, entries: int, dense: np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 100_000, seed: int = 0, scope: str = "") -> Classifier:
     """From ``docs`` (id, text) and ``labels`` (id, label 0/1)."""
-    features = labelled_sample(docs, labels, per_label, max_chars, seed).mapInArrow(_sample_features, "label long, keys binary, counts binary, style binary")
-    once = features.groupBy("keys").agg(F.max(F.struct("label", "counts", "style")).alias("of"))  # copies count once
+    features = labelled_sample(docs, labels, per_label, max_chars, seed).mapInArrow(_sample_features, "label long, weight double, keys binary, counts binary, style binary")
+    once = features.groupBy("keys").agg(F.max(F.struct("label", "weight", "counts", "style")).alias("of"))  # copies count once
     known = table(once.select("keys", "of.*"), "toxicity-features", scope)
-    total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
+    is_toxic = F.col("label") == 1
+    total, toxic, of_toxic, of_other = known.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(is_toxic.cast("long")), F.lit(0)), F.avg(F.when(is_toxic, F.col("weight"))), F.avg(F.when(~is_toxic, F.col("weight")))
+    ).first()
     if not 0 < toxic < total:
         return Classifier(np.empty(0, np.uint32), np.empty((0, len(LEVELS))), np.zeros(5), -10.0 if not toxic else 10.0)
-    codes = _mine(known, toxic / total)
-    found = known.select("keys", "label", "counts", "style").mapInArrow(_find_hits(codes), "name binary, label long, hits binary, listed boolean, style binary")
+    codes = _mine(known, toxic / total, of_toxic / of_other)
+    found = known.select("keys", "label", "counts", "style", "weight").mapInArrow(_find_hits(codes), "name binary, label long, weight double, hits binary, listed boolean, style binary")
     rows = sorted(found.collect(), key=lambda r: bytes(r["name"]))
-    y = np.array([r["label"] == 1 for r in rows], dtype=bool)
+    y, weight = np.array([r["label"] == 1 for r in rows], dtype=bool), np.array([r["weight"] for r in rows])
     style = np.stack([np.frombuffer(r["style"]) for r in rows])
     own = [np.frombuffer(r["hits"], dtype=np.int32) for r in rows]
     text, entry = np.repeat(np.arange(len(rows)), [len(h) for h in own]), np.concatenate(own)
@@ -278,10 +292,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: in
     silent = np.where(any_hit, 0, -1)
     twice = np.where(hits >= 2, 1, 0)
     votes = np.column_stack([lexicons, listed.astype(int), shout, marks, calm, silent, twice])
-    share = float(y.mean())
-    model = LabelModel.fit(votes, np.where(any_hit, 0.9, np.clip(share * 0.2, 0.01, 0.2)))
+    share = float(weight @ y / weight.sum())
+    model = LabelModel.fit(votes, np.where(any_hit, 0.9, np.clip(share * 0.2, 0.01, 0.2)), row_weight=weight)
     target = model.posterior(votes)
-    w = _logistic(text, entry, len(codes), style, target, np.ones(len(rows)), 1e-4)
+    w = _logistic(text, entry, len(codes), style, target, weight, 1e-4)
     used, place = np.unique(codes // len(LEVELS), return_inverse=True)
     weights = np.zeros((len(used), len(LEVELS)))
     weights[place, codes % len(LEVELS)] = w[: len(codes)]
