@@ -1,145 +1,154 @@
-"""Byte-level BPE ids for many texts at once, equal to those of the ``tokenizers`` library.
-
-Most texts hold only letters, digits, spaces and marks below U+0250. For those the pre-tokenizer's
-pattern is applied to a whole batch with numpy, each distinct piece is encoded once, and the
-ids are gathered. Any other text (apostrophes, other scripts, special tokens) goes through the
-library's own path, so ids never depend on which way was taken.
+"""Ids of the ``tokenizers`` library for many texts at once, each distinct piece encoded once.
+
+A byte-level BPE file splits a text into pieces before it merges: letters, digits or other marks, each
+perhaps after one blank, and white space. So a text may be cut wherever the kind of character changes
+(but after a blank, several white space characters or an apostrophe): the ids of the parts, one after another, are the ids of the
+text. Parts repeat, and those that were seen are looked up by their text; the rest goes to the
+library in batches. Cuts are made between ASCII characters, and before white space; where a file's added
+tokens have two such characters side by side, not between these. A file whose rules do not promise
+all this (a normalizer, another pre-tokenizer, added tokens that take blanks) has its texts encoded
+whole. The choice depends on the file alone, never on a text.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
-import unicodedata
+import os
+import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Texts with a character from here on, or one that ``_CLASS`` marks as odd, are left to the library.
-SIMPLE_END = 0x250
-#: Characters that are handled together; about 100 bytes of working memory each.
-BLOCK_CHARS = 500_000
-CACHE_PIECES = 400_000
-SPACE, LETTER, NUMBER, OTHER, EDGE, ODD = range(6)
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _classes() -> np.ndarray:
-    out = np.full(SIMPLE_END, OTHER, dtype=np.uint8)
-    for c in range(SIMPLE_END):
-        kind = unicodedata.category(chr(c))[0]
-        out[c] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
-    out[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = SPACE
-    out[[0x1C, 0x1D, 0x1E, 0x1F, ord("'"), 0]] = ODD
-    return out
-
-
-_CLASS = _classes()
-
-
-def _byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins that byte-level vocabularies use for the 256 bytes."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+import pyarrow as pa
+
+from . import textnum
+
+#: Bytes that are cut up together, and the longest stretch of one text that is worked on at once if it may be cut.
+WINDOW = 2_000_000
+#: Stretches that are remembered, some 150 bytes each, and the longest that is.
+KNOWN, KNOWN_CHARS = 1_200_000, 50
+#: First bytes of characters beyond ASCII that are no white space, whatever follows.
+_GRAPHIC = np.zeros(256, dtype=bool)
+_GRAPHIC[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+_LETTER, _DIGIT, _MARK, _SPACE = 1, 2, 3, 4
+
+
+def may_cut(spec: dict) -> bool:
+    """Whether a tokenizer file promises that texts may be cut between pieces."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in spec["added_tokens"])
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    return bool(plain and byte_level and model["type"] == "BPE" and not model.get("dropout") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
+
+
+def pairs(spec: dict) -> np.ndarray:
+    """For each two ASCII bytes side by side, as first * 256 + second, whether a text may be cut between them."""
+    kind = np.zeros(256, dtype=np.uint8)
+    for byte in range(0x21, 0x7F):
+        kind[byte] = _LETTER if chr(byte).isalpha() else _DIGIT if chr(byte).isdigit() else _MARK
+    kind[[9, 10, 11, 12, 13, 32]] = _SPACE
+    out = (kind[:, None] != kind[None, :]) & (kind[:, None] > 0) & (kind[None, :] > 0)
+    out[32, :] = False  # a blank belongs to what follows
+    out[ord("'"), kind == _LETTER] = False
+    for token in spec["added_tokens"]:
+        raw = token["content"].encode()
+        out[list(raw[:-1]), list(raw[1:])] = False
+    return out.reshape(-1)
+
+
+def cuts(data: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Where UTF-8 bytes may be cut, in no order."""
+    if len(data) < 2:
+        return np.empty(0, dtype=np.int64)
+    plain = np.flatnonzero(pairs[data[:-1].astype(np.uint16) << 8 | data[1:]]) + 1
+    # where several white space characters end, what follows them decides how they are cut
+    after = data[plain - 1]
+    before = data[np.maximum(plain - 2, 0)]
+    plain = plain[(after > 32) | ((before > 32) & (before < 0x7F))]
+    far = np.flatnonzero((data[:-1] >= 0x80) & ((data[1:] == 32) | (data[1:] == 10))) + 1
+    back = [data[np.maximum(far - k, 0)] for k in (2, 3, 4)]
+    first = np.where(back[0] >= 0xC0, back[0], np.where(back[1] >= 0xC0, back[1], back[2]))
+    return np.concatenate([plain, far[_GRAPHIC[first]]])
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) again, with a long text in several windows of one row each."""
+    at = 0
+    while pairs is not None and len(offsets) == 2 and len(data) - at > 2 * WINDOW:
+        reach, found = WINDOW, np.empty(0, dtype=np.int64)
+        while not len(found) and at + reach < len(data):  # farther, until it may be cut
+            reach *= 2
+            found = np.sort(cuts(data[at : at + reach], pairs))
+        if not len(found):
+            break
+        end = at + int(found[min(np.searchsorted(found, WINDOW), len(found) - 1)])
+        yield 0, data[at:end], np.array([0, end - at])
+        at = end
+    yield 0, data[at:], offsets - offsets[0] if not at else np.array([0, len(data) - at])
 
 
 class BatchEncoder:
     """Encodes texts by the tokenizer file at ``path``; one instance a Python worker."""
 
     def __init__(self, path: str):
-        import tiktoken
-
-        spec = json.load(open(path, encoding="utf-8"))
-        alphabet = _byte_alphabet()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self._library = tiktoken.Encoding("batch", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self._piece = self._library._core_bpe.encode_single_piece
-        self._special = tuple(special)
-        self.narrow = max(spec["model"]["vocab"].values(), default=0) < 1 << 16 and max(special.values(), default=0) < 1 << 16
-        self.dtype = np.dtype(np.uint16 if self.narrow else np.uint32)
-        self._cache: dict[int, bytes] = {}
-        self._powers = np.empty(0, dtype=np.uint64)
-        self._inverse = np.empty(0, dtype=np.uint64)
-
-    def _weights(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._powers) < n:
-            inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
-            self._powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _MULTIPLIER)]).astype(np.uint64))
-            self._inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)]).astype(np.uint64))
-        return self._powers, self._inverse
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens added."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        block: list[tuple[int, np.ndarray]] = []
-        held = 0
-        for i, text in enumerate(texts):
-            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            if len(chars) > BLOCK_CHARS or not self._simple(text, chars):
-                out[i] = np.asarray(self._library.encode(text, allowed_special="all"), dtype=self.dtype)
-                continue
-            block.append((i, chars))
-            held += len(chars) + 1
-            if held >= BLOCK_CHARS:
-                self._encode_block(block, out)
-                block, held = [], 0
-        if block:
-            self._encode_block(block, out)
-        return out
-
-    def _simple(self, text: str, chars: np.ndarray) -> bool:
-        return not len(chars) or bool(
-            chars.max() < SIMPLE_END and not (_CLASS[chars] == ODD).any() and not any(s in text for s in self._special)
-        )
-
-    def _encode_block(self, block: list[tuple[int, np.ndarray]], out: list) -> None:
-        edge = np.zeros(1, dtype=np.uint32)
-        chars = np.concatenate([edge, *itertools.chain.from_iterable((c, edge) for _, c in block)])
-        kind = _CLASS[chars]
-        kind[chars == 0] = EDGE
-        run = np.empty(len(kind), dtype=bool)
-        run[0] = True
-        np.not_equal(kind[1:], kind[:-1], out=run[1:])
-        starts = run | (kind == EDGE)
-        # a word takes the one blank before it; the last white space before a word stands alone otherwise
-        words = np.flatnonzero(run & (kind != SPACE) & (kind != EDGE))
-        glued = chars[words - 1] == 32
-        starts[words[glued]] = False
-        starts[words - 1] |= kind[words - 1] == SPACE
-        at = np.flatnonzero(starts)
-        real = kind[at] != EDGE
-        ends = np.append(at[1:], len(chars))
-        at, ends = at[real], ends[real]
-        ids, per_piece = self._ids(chars, at, ends)
-        upto = np.concatenate([[0], np.cumsum(per_piece)])
-        bounds = np.flatnonzero(kind == EDGE)
-        cuts = upto[np.searchsorted(at, bounds)]
-        for k, (i, _) in enumerate(block):
-            out[i] = ids[cuts[k] : cuts[k + 1]]
-
-    def _ids(self, chars: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        power, inverse = self._weights(len(chars) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(chars.astype(np.uint64) * power[: len(chars)])])
-        hashes = (sums[ends] - sums[at]) * inverse[at]
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._cache) > CACHE_PIECES:
-            self._cache.clear()
-        keys = distinct.tolist()
-        found = list(map(self._cache.get, keys))
-        if None in found:
-            text = chars.tobytes().decode("utf-32-le")
-            code = "H" if self.narrow else "I"
-            new = [k for k, ids in enumerate(found) if ids is None]
-            for k, a, b in zip(new, at[first[new]].tolist(), ends[first[new]].tolist(), strict=True):
-                found[k] = self._cache[keys[k]] = array(code, self._piece(text[a:b].encode())).tobytes()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self._library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self._pairs = pairs(spec) if may_cut(spec) else None
+        narrow = max(self._library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16
+        self.dtype, self._code = np.dtype(np.uint16 if narrow else np.uint32), "H" if narrow else "I"
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column, one after another without special tokens added, and how many each has."""
+        counts, ids = np.zeros(len(texts), dtype=np.int64), [np.empty(0, dtype=self.dtype)]
+        for row, data, offsets in textnum.blocks(texts):
+            for first, part, bounds in _windows(data, offsets, self._pairs):
+                found, each = self._window(part, bounds)
+                ids.append(found)
+                counts[row + first : row + first + len(each)] += each
+        return np.concatenate(ids), counts
+
+    def _window(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[offsets] = True
+        if self._pairs is not None:
+            edge[cuts(data, self._pairs)] = True
+        at = np.flatnonzero(edge)
+        stretches = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        if not len(stretches):
+            return np.empty(0, dtype=self.dtype), np.zeros(len(offsets) - 1, dtype=np.int64)
+        distinct = stretches.dictionary_encode()
+        which = distinct.indices.to_numpy()
+        found = self._ids(distinct.dictionary.to_pylist())
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(found), dtype=self.dtype)
-        per_piece = lengths[which]
-        origin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        upto = np.cumsum(per_piece)
-        index = np.repeat((origin[which] - (upto - per_piece)).astype(np.int32), per_piece)
-        index += np.arange(len(index), dtype=np.int32)
-        return flat[index], per_piece
+        each = lengths[which]
+        upto = np.cumsum(each)
+        origin = np.cumsum(lengths) - lengths
+        index = np.repeat(origin[which] - (upto - each), each) + np.arange(upto[-1])
+        ends = np.concatenate([[0], upto])[np.searchsorted(at, offsets)]
+        return flat[index], np.diff(ends)
+
+    def _ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of distinct stretches as bytes of ``dtype``."""
+        if len(self._known) > KNOWN // 2:
+            self._known, self._older = {}, self._known  # what is not met again goes at the next turn
+        out = list(map(self._known.get, stretches))
+        new = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            out[k] = self._older.get(stretches[k])
+            if out[k] is None:
+                new.append(k)
+            elif len(stretches[k]) <= KNOWN_CHARS:
+                self._known[stretches[k]] = out[k]
+        encoded = self._library.encode_batch_fast([stretches[k] for k in new], add_special_tokens=False)
+        for k, e in zip(new, encoded, strict=True):
+            out[k] = array(self._code, e.ids).tobytes()
+            if len(stretches[k]) <= KNOWN_CHARS:
+                self._known[stretches[k]] = out[k]
+        return out
