@@ -1,8 +1,8 @@
-"""Word and shingle hashes of many UTF-8 texts at once, in numpy.
+"""Word and shingle hashes of many UTF-8 texts at once.
 
-A text's bytes are weighted by powers of an odd number modulo 2 ** 64, so the hash of any span is
-a difference of prefix sums, moved to the origin by the inverse power. Hashes are mixed before
-use. Two different spans share one of the 2 ** 64 values with a chance of about 2 ** -64.
+The distinct words of a block are found by their bytes, and each is hashed once by XXH3 (64 bits). A run of
+words is hashed by mixing in one word after another. Two different runs share a hash with a chance of about
+2 ** -64, whatever pattern they follow; grams of up to eight bytes are their own number.
 """
 
 from __future__ import annotations
@@ -12,11 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
-#: Bytes that are worked on together; some 60 bytes of memory each. A longer text is taken whole.
+#: Bytes that are worked on together; some 30 bytes of memory each. A longer text is taken whole.
 BLOCK_BYTES = 1_000_000
-_BASE = 0xD6E8FEB86659FD93
-_powers = _inverses = np.ones(1, dtype=np.uint64)
 
 
 def lower_words() -> np.ndarray:
@@ -45,17 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for base, out in ((_BASE, "_powers"), (pow(_BASE, -1, 1 << 64), "_inverses")):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            globals()[out] = np.cumprod(steps)
-    return _powers, _inverses
-
-
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of a string column; nulls are empty."""
     column = pc.fill_null(column, "")
@@ -84,34 +72,45 @@ class Words:
         self.start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
         self.end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self._sums = np.zeros(len(norm) + 1, dtype=np.uint64)
-        np.cumsum(norm * _weights(len(norm) + 1)[0][: len(norm)], out=self._sums[1:])
+        self._norm = norm
+        self._distinct: tuple[np.ndarray, list[bytes]] | None = None
+
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word, and the words by number."""
+        if self._distinct is None:
+            letters = self._norm[self._norm != 0]  # the words, one after another
+            bounds = np.concatenate([[0], np.cumsum(self.end - self.start)])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+            coded = words.dictionary_encode()
+            self._distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        return self._distinct
 
     def hashes(self, first: int | None = None) -> np.ndarray:
-        """Mixed hashes of the words, or of their ``first`` bytes at most."""
-        end = self.end if first is None else np.minimum(self.end, self.start + first)
-        raw = (self._sums[end] - self._sums[self.start]) * _weights(len(self._sums))[1][self.start]
-        return mix(raw + (end - self.start).astype(np.uint64))
+        """Hashes of the words, or of their ``first`` bytes at most."""
+        number, words = self.distinct()
+        own = np.fromiter((xxh3_64_intdigest(w[:first]) for w in words), dtype=np.uint64, count=len(words))
+        return own[number]
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, hash) of every run of ``size`` bytes inside a word; the hashes still want mixing."""
+        """(doc, number) of every run of ``size`` bytes, eight at most, inside a word; the numbers still want mixing."""
         count = np.maximum(0, self.end - self.start - size + 1)
         upto = np.cumsum(count)
         at = np.repeat(self.start - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
-        return np.repeat(self.doc, count), (self._sums[at + size] - self._sums[at]) * _weights(len(self._sums))[1][at]
+        number = np.zeros(len(at), dtype=np.uint64)
+        for j in range(size):
+            number = number << np.uint64(8) | self._norm[at + j]
+        return np.repeat(self.doc, count), number
 
 
 def shingles(words: Words, size: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, hash) of every run of ``size`` words, with repeats; a text of fewer words is one shingle."""
     h = words.hashes()
-    step = np.uint64(0xA0761D6478BD642F)
     n = max(0, len(h) - size + 1)
+    whole = words.doc[:n] == words.doc[size - 1 :] if n else np.zeros(0, dtype=bool)
     run = np.zeros(n, dtype=np.uint64)
     for j in range(size):
-        run *= step
-        run += h[j : j + n]
-    whole = words.doc[:n] == words.doc[size - 1 :] if n else np.zeros(0, dtype=bool)
-    run, doc = mix(run[whole]), words.doc[:n][whole]
+        run = mix(run + h[j : j + n])
+    run, doc = run[whole], words.doc[:n][whole]
     counts = np.bincount(words.doc, minlength=docs)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
@@ -119,7 +118,7 @@ def shingles(words: Words, size: int, docs: int) -> tuple[np.ndarray, np.ndarray
         sums = np.zeros(len(short), dtype=np.uint64)
         for j in range(size - 1):
             has = counts[short] > j
-            sums[has] = sums[has] * step + h[first[has] + j]
+            sums[has] = mix(sums[has] + h[first[has] + j])
         run = np.concatenate([run, mix(sums + counts[short].astype(np.uint64))])
         doc = np.concatenate([doc, short])
     return doc, run
