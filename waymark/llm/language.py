@@ -7,10 +7,12 @@ from training, calibrates the probabilities, and the score below which a predict
 rejected is the lowest at which the kept-back rows reach ``precision``. For scoring, embedding and
 softmax layers are multiplied out to one row of class scores a bucket. Whole texts are read.
 
-Fitting uses about ``per_lang`` texts of at most ``max_chars`` characters of each language (parameters).
+Fitting uses about ``per_lang`` texts of at most ``max_chars`` characters of each language, and no more than ``MOST_ROWS``
+of all languages together (parameters); each row is drawn with its own label.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0 and rejected; letters that
-give no feature get the prior; null ids are held out; repeated rows get equal rows; without
+give no feature get the prior; null ids are held out; repeated rows get equal rows, and rows that share
+an id keep their own labels; very long texts are read whole, but not fitted on; without
 labelled rows everything is ``und``; an empty table gives an empty result; other columns are not read.
 """
 
@@ -26,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
-from .sample import held_out, labelled_sample
+from .sample import held_out, labelled_rows
 
 BUCKET_BITS = 16
 GRAMS = (3, 4)
 DIM = 16
+#: Sampled rows of all languages, which the driver holds as features.
+MOST_ROWS = 12_000
 _LETTERS = textnum.lower_letters()
 
 
@@ -115,8 +119,9 @@ def train(keys: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, class
 
 def fit(docs: DataFrame, per_lang: int = 1500, max_chars: int = 100_000, precision: float = 0.99, seed: int = 0) -> LanguageModel:
     """From ``docs`` (id, text, label); rows with a null label are left out."""
-    labels = docs.select("id", "label")
-    rows = labelled_sample(docs.select("id", "text"), labels, per_lang, max_chars, seed).mapInArrow(_sample_features, "label string, keys binary, counts binary").collect()
+    languages = docs.filter("label is not null").select("label").distinct().count()
+    sample = labelled_rows(docs, min(per_lang, MOST_ROWS // max(1, languages) + 1), max_chars, seed)
+    rows = sample.select("text", "label").mapInArrow(_sample_features, "label string, keys binary, counts binary").collect()
     unique = {(bytes(r["keys"]), bytes(r["counts"])): r for r in rows if len(r["keys"])}
     rows = [unique[k] for k in sorted(unique)]
     names = sorted({r["label"] for r in rows})
