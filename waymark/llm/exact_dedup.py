@@ -10,8 +10,9 @@ exceeds ``max_filter_bits / 8`` bytes, whatever the input. Past that size more r
 shuffled as candidates and the results stay the same.
 
 Cases: null text counts as empty, and all empty texts are one group; a null id sorts below every
-other id; rows that agree in text and id are one group of which exactly one row stays; an empty
-table gives an empty result; other columns of the input are neither read nor returned.
+other id; rows that agree in text and id are one group of which exactly one row stays; texts of any
+length are hashed whole and never shuffled; an empty table gives an empty result; other columns of the
+input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import join_hot, table
+from .scratch import join_hot, table, without_hot
 
 HASHES = 2
 #: What goes is broadcast up to this number of rows, about 20 MB.
@@ -99,7 +100,7 @@ def exact_dedup(
         scope,
     )
     sha = F.lower(F.hex("sha")).alias("text_sha256")
-    single = candidates.join(groups.select("sha"), "sha", "left_anti")
+    single = without_hot(candidates, groups, ["sha"], "group_size")
     grouped = join_hot(candidates, groups, ["sha"], "group_size")
     return (
         probed.filter("not suspect")

@@ -39,18 +39,30 @@ def table(df: DataFrame, name: str, scope: str = "") -> DataFrame:
     ``scope`` groups tables that :func:`release` may delete together.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name, scope)
     df.write.parquet(path)
-    _released.setdefault(scope, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, name: str, scope: str = "") -> str:
+    """A new place in the shared folder, deleted by :func:`release` or else when the driver ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _released.setdefault(scope, []).append(path)
+    store, where = _stored(spark, path)
+    store.deleteOnExit(where)
+    return path
+
+
+def _stored(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def release(spark: SparkSession, scope: str) -> None:
     """Delete the tables written under ``scope``; frames that read them must be finished with."""
-    jvm = spark.sparkContext._jvm
     for path in _released.pop(scope, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        store, where = _stored(spark, path)
+        store.delete(where, True)
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
@@ -59,8 +71,19 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, sh
     Keys with more than one in ``share`` of all rows, fewer than ``share`` of them, are broadcast;
     the rest is shuffled, and no key of it is large.
     """
+    hot, other = split_hot(groups, count, share)
+    rest = rows.join(broadcast(hot.select(*keys)), keys, "left_anti").join(other, keys)
+    return rows.join(broadcast(hot), keys).unionByName(rest)
+
+
+def without_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+    """The rows whose key is not in ``groups``, by the same two ways."""
+    hot, other = split_hot(groups, count, share)
+    return rows.join(broadcast(hot.select(*keys)), keys, "left_anti").join(other.select(*keys), keys, "left_anti")
+
+
+def split_hot(groups: DataFrame, count: str, share: int) -> tuple[DataFrame, DataFrame]:
+    """The groups with more than one in ``share`` of all rows, fewer than ``share`` of them, and the others."""
     total = groups.agg({count: "sum"}).first()[0] or 0
     least = max(1000, total // share)
-    hot = groups.filter(groups[count] > least)
-    rest = rows.join(broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(groups[count] <= least), keys)
-    return rows.join(broadcast(hot), keys).unionByName(rest)
+    return groups.filter(groups[count] > least), groups.filter(groups[count] <= least)
