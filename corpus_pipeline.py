@@ -41,13 +41,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of 0.8 or more connect, the document with the smallest id."""
     scope = _enter(spark, "near dedup")
-    return jaccard.kept_documents(docs, jaccard.near_duplicates(docs, scope=scope), scope=scope)
+    return jaccard.kept_documents(docs, jaccard.near_duplicates(docs, with_text_id=True, scope=scope), scope=scope)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often, and as far, as their source's budget takes them."""
     scope = _enter(spark, "mixing")
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs, scope=scope))
+    return mixing.mixed_documents(docs, mixing.mix_sources(docs, scope=scope), scope=scope)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

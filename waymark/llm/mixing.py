@@ -1,20 +1,21 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Every document gets a hash-random key. Keys are cut into equal ranges, so each (source, range) is
-sorted and summed by itself; a small table of range totals, summed along each source, gives every
-range its offset. A document is taken once for each whole epoch of its source's budget and, in the
-last epoch, as far as its words lie before the budget's end. So each source meets its budget to
-the word, and nothing wider than (id, source, size, key) is shuffled.
+Every document gets a hash-random key. Rows are sorted by source and key into ranges of about as many rows
+each, so that a range is a run of one source's order; each is summed by itself, and a small table of range
+totals, summed along each source, gives every range its offset. A document is taken once for each whole
+epoch of its source's budget and, in the last epoch, as far as its words lie before the budget's end. So each
+source meets its budget to the word, and nothing wider than ids, sizes and hashes is sorted.
 
 Targets: the sources, ordered by code point with null last, weigh ``weights`` in turn and share
 ``share`` of all words; none may exceed ``max_epochs`` times its own words, and what is cut off is
 shared again by weight among the others. That fixed point is found in closed form: sort sources
 by cap over weight; a source is capped while the level that would fill it does not exceed what
-is left.
+is left. That takes one row a source, and ranges are a row each, in one sort; texts are never gathered.
 
 Cases: null text has size 0; null is a source of its own; a null id hashes like the text
-``null``; repeated rows are separate documents; an empty table gives an empty result; sources of
-no words have target 0.
+``null``; rows that share an id are separate documents, ordered by size, text hash and place, so that any
+number of them is spread over ranges; a text of any length is counted whole; an empty table gives an empty
+result; sources of no words have target 0; other columns are not read, and :func:`mixed_documents` passes them on.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ def random_key(id_: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def text_id(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
     """(source, source_size) to (source, source_size, target). One row a source, so windows over all of them are small."""
     everything = Window.partitionBy(F.lit(0))
@@ -74,19 +79,22 @@ def mix_sources(
     seed: int = 0,
     scope: str = "",
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words, repeats counted)."""
+    """One row per document: id, source, size, source_size, target, taken (words, repeats counted), text_id (a hash of the text)."""
     thin = table(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             random_key(F.col(id_col), seed).alias("key"),
+            text_id(F.col(text_col)).alias("text_id"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "mix-sizes",
         scope,
     )
-    bits = max(6, (thin.count() // RANGE_ROWS).bit_length())
-    thin = thin.withColumn("range", F.shiftright("key", KEY_BITS - bits))
+    ranges = max(8, thin.count() // RANGE_ROWS + 1)
+    order = ["key", "id", "size", "text_id", "row"]
+    thin = table(thin.repartitionByRange(ranges, F.asc_nulls_last("source"), *order).withColumn("range", F.spark_partition_id()), "mix-ranges", scope)
     totals = thin.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("range_size").over(along), F.lit(0).cast("long")))
@@ -96,7 +104,7 @@ def mix_sources(
         "mix-offsets",
         scope,
     )
-    within = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = thin.withColumn("upto", F.sum("size").over(within))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -113,6 +121,7 @@ def mix_sources(
             "source_size",
             "target",
             (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"),
+            "text_id",
         )
     )
 
@@ -123,17 +132,36 @@ def first_words(text: Column, n: Column) -> Column:
     return F.concat_ws("", words)
 
 
-def mixed_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, and cut to its first words where the budget ends in it."""
-    shares = taken.groupBy(F.col(id_col).alias("__mix_id")).agg(
-        F.sum("taken").alias("__mix_taken"), F.sum("size").alias("__mix_size"), F.count(F.lit(1)).alias("__mix_rows")
+#: Groups of equal rows are broadcast up to this number.
+BROADCAST_TWINS = 100_000
+
+
+def mixed_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scope: str = "") -> DataFrame:
+    """The mix itself: each document as often as it is taken whole, and cut to its first words where the budget ends in it.
+
+    ``taken`` comes from :func:`mix_sources`. A row is known by id, source and text; of rows that agree in
+    all three, one stands for what they are taken together.
+    """
+    names = {"__mix_id": id_col, "__mix_source": source_col, "__mix_text": "text_id"}
+    shares = taken.groupBy(*[F.col(c).alias(name) for name, c in names.items()]).agg(
+        F.sum("taken").alias("__mix_share"), F.max("size").alias("__mix_own"), F.count(F.lit(1)).alias("__mix_rows")
     )
-    rows = docs.join(shares, docs[id_col].eqNullSafe(shares["__mix_id"]))
-    own = F.when(F.col("__mix_rows") == 1, F.col("__mix_size")).otherwise(word_count(F.col(text_col)))
-    share = F.when(F.col("__mix_rows") == 1, F.col("__mix_taken")).otherwise((own * F.col("__mix_taken") / F.col("__mix_size")).cast("long"))
-    copies = F.when(own > 0, F.ceil(share / own)).otherwise(F.lit(0)).cast("int")
-    out = rows.withColumn("__mix_own", own).withColumn("__mix_share", share).withColumn("__mix_copies", copies).filter("__mix_copies > 0")
-    out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    shares = table(shares.filter("__mix_share > 0"), "mix-shares", scope)
+    rows = docs.withColumn("__mix_of", text_id(F.col(text_col)))
+
+    def of(side: DataFrame) -> Column:
+        return rows[id_col].eqNullSafe(side["__mix_id"]) & rows[source_col].eqNullSafe(side["__mix_source"]) & (rows["__mix_of"] == side["__mix_text"])
+
+    lone = shares.filter("__mix_rows = 1")
+    found = rows.join(lone, of(lone))
+    twins = shares.filter("__mix_rows > 1")
+    n = twins.count()
+    if n:
+        # equal rows meet before any shuffle, so that their number does not matter
+        one = rows.join(F.broadcast(twins), of(twins)) if n <= BROADCAST_TWINS else rows
+        one = one.dropDuplicates([id_col, source_col, "__mix_of"])
+        found = found.unionByName(one.select(*found.columns) if n <= BROADCAST_TWINS else one.join(twins, of(twins)).select(*found.columns))
+    out = found.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__mix_share") / F.col("__mix_own")))))
     cut = F.col("__mix_share") - (F.col("__mix_copy") - 1) * F.col("__mix_own")
     return out.withColumn(text_col, F.when(cut < F.col("__mix_own"), first_words(F.col(text_col), cut)).otherwise(F.col(text_col))).select(
         *docs.columns
