@@ -15,9 +15,10 @@ def hard_cases():
     base = " ".join(f"w{i}" for i in range(60))
     near = base.replace("w30", "v30")
     far = " ".join(f"u{i}" for i in range(60))
-    texts = [None, "", " \t\n ", "one", "one two three", "ONE two three", base, base, base.upper(), near, near + " x", far, "long " * 30000, "äöü ß Ñ é", "a\x00b", "12 34 !!", "日本語 テキスト"]
+    texts = [None, "", " \t\n ", "one", "one two three", "ONE two three", base, base, base.upper(), near, near + " x", far, "long " * 30000, "äöü ß Ñ é", "a\x00b", "12 34 !!", "日本語 テキスト", thue_morse(2048), thue_morse(2048, "ba"), "blank " + " " * 70000 + "x"]
     rows = [(i, t, "en" if i % 3 else None, ("a", "b", None)[i % 3], None, i, i) for i, t in enumerate(texts)]
-    return [*rows, rows[6], rows[6], (None, "nothing has an id", "en", "a", 1, 1, 1), (None, base, None, None, None, None, None)]
+    again = [(3, "another text of id three", "en", "a", 1, 1, 1), (9, "a second text of id nine", None, "b", 1, 1, 1), (None, near, "en", None, 0, 0, 0)]
+    return [*rows, rows[6], rows[6], *again, (None, "nothing has an id", "en", "a", 1, 1, 1), (None, base, None, None, None, None, None)]
 
 
 def words(text):
@@ -30,25 +31,34 @@ def shingles(text, size=5):
 
 
 def components(rows, percent=80):
-    """{id: (size, smallest linked id)} by comparing all sets that share a shingle."""
-    sets = {i: shingles(t) for i, t in rows if i is not None}
-    holders, root = defaultdict(set), {i: i for i in sets}
+    """[(id, size, smallest linked id)] of rows (id, text), by comparing all rows that share a shingle."""
+    sets = [shingles(t) for _, t in rows]
+    holders, root = defaultdict(set), list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, s in sets.items():
+    for i, s in enumerate(sets):
         for g in s:
             holders[g].add(i)
-    for i, s in sets.items():
+    for i, s in enumerate(sets):
         for j in {j for g in s for j in holders[g] if j > i}:
             both = len(s & sets[j])
             if 100 * both >= percent * (len(s) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[find(i)] = min(name, least.get(find(i), name))
+    return [(name, len(sets[i]), least.get(find(i))) for i, (name, _) in enumerate(rows)]
+
+
+def thue_morse(n, letters="ab"):
+    """A word and its complement agree in every polynomial hash modulo a power of two, if they are long enough."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
 
 
 def keep_latest(rows):

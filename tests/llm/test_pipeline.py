@@ -27,7 +27,7 @@ def test_stages_and_run(spark, sf, tmp_path):
     kept = set(helpers.keep_latest([(r.doc_id, r.text) for r in rows[0]]).values())
     assert {r.doc_id for r in rows[1]} == kept and len(rows[1]) == len(kept)
     groups = helpers.components([(r.doc_id, r.text) for r in rows[1]])
-    assert {r.doc_id for r in rows[2]} == {root for _, root in groups.values()}
+    assert {r.doc_id for r in rows[2]} == {root for _, _, root in groups}
     taken, _ = helpers.mix([(r.doc_id, r.text, r.source) for r in rows[2]])
     words = {}
     for r in rows[3]:

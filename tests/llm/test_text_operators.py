@@ -6,8 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import exact_dedup, jaccard, media, mixing, packing, preference, queries, textnum
-from waymark.llm.bpe import BatchEncoder
+from waymark.llm import bpe, exact_dedup, jaccard, media, mixing, packing, preference, queries, textnum
 
 from ..conftest import same_rows
 from . import helpers
@@ -29,14 +28,32 @@ def library():
     return Tokenizer.from_file(queries.tokenizer_path())
 
 
-def test_encoder_equals_library():
+def test_encoder_equals_library(monkeypatch):
     rng = random.Random(0)
-    alphabet = "abcdeXYZ 0129éßñ\n\t  .,!-'|\xa0\x85²½ʃ日"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    texts += ["<|endoftext|> a", "it's we'll'", "", " ", "\n", "a  \n", " a", "\x1c x", "😀 a", "a\x00b", "word " * 5000]
-    encoder, known = BatchEncoder(queries.tokenizer_path()), library()
-    for got, want in zip(encoder.encode(texts), known.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert got.tolist() == want.ids
+    alphabet = [*"abt|e's;:<>XYZ 0129éßñ\n\t\r  .,!-\"\xa0\x85\x1c\u2003\u3000²½ʃя日", "<|endoftext|>", "'s", "  "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(5000)]
+    texts += ["<|endoftext|> a", "it's we'll'", "", None, " ", "\n", "a  \n", " a", "\x1c x", "😀 a", "a\x00b", "word " * 5000]
+    texts += [helpers.thue_morse(2048), helpers.thue_morse(2048, "ba"), " " * 200_000 + "x", "a" * 100_000, "words and more, " * 3000 + "b" * 20_000 + " c"]
+    known = library()
+    for window in (bpe.WINDOW, 1000):
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        encoder = bpe.BatchEncoder(queries.tokenizer_path())
+        for _ in range(2):  # anew, then from what is remembered
+            ids, counts = encoder.encode(pa.array(texts))
+            ends = np.cumsum(counts)
+            for text, a, b in zip(texts, ends - counts, ends, strict=True):
+                assert ids[a:b].tolist() == known.encode(text or "", add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "may_cut", lambda spec: False)
+    whole, counts = bpe.BatchEncoder(queries.tokenizer_path()).encode(pa.array(texts))
+    assert counts.tolist() == np.diff(np.append(0, ends)).tolist() and (whole == ids).all()
+
+
+def test_cuts_depend_on_the_file():
+    import json
+
+    import public_tokenizers
+
+    assert [bpe.may_cut(json.load(open(public_tokenizers.path(f)))) for f in ("byte_bpe_50k.json", "word_bpe_49k.json")] == [True, False]
 
 
 def check_pieces(out, texts):
@@ -89,8 +106,25 @@ def test_mixing_against_plain(spark, sf, hard):
 def test_mixing_repeated_rows(spark, hard):
     out = mixing.mix_sources(hard)
     assert out.count() == hard.count()
-    sums = out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
-    assert all(r.t == int(r.g) for r in sums)
+    sums = {r.source: r for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()}
+    assert all(r.t == int(r.g) for r in sums.values())
+    mixed = mixing.mixed_documents(hard, out)
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert got == {s: r.t for s, r in sums.items() if r.t}
+
+
+@pytest.mark.parametrize("twins", [0, 100_000])
+def test_mixing_of_rows_that_share_an_id(spark, monkeypatch, twins):
+    monkeypatch.setattr(mixing, "BROADCAST_TWINS", twins)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    rows = [(7, f"one two {i}", "a") for i in range(400)] + [(None, "same text here", "a")] * 300 + [(8, "x " * (i % 5), None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs)
+    taken = {r.source: r for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()}
+    assert all(r.t == int(r.g) for r in taken.values()) and out.filter("taken > 2 * size").count() == 0
+    mixed = mixing.mixed_documents(docs, out)
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert got == {s: r.t for s, r in taken.items()}
 
 
 def test_mixed_documents(spark, sf):
@@ -125,13 +159,53 @@ def test_exact_dedup_small_filter_and_hot_group(spark):
     assert full.exceptAll(tight).count() == 0 and full.filter("group_size = 2000").count() == 2000
 
 
+def same_components(out, rows):
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == sorted(helpers.components(rows), key=repr)
+
+
 def test_jaccard_against_plain(spark, sf, hard):
     for docs in (queries.read(spark, sf, "documents"), hard, hard.limit(0)):
-        want = helpers.components([(r.doc_id, r.text) for r in docs.collect()])
-        out = jaccard.near_duplicates(docs).collect()
-        assert len(out) == docs.count()
-        for r in out:
-            assert r.doc_id is None and r.component_id is None or (r.n_shingles, r.component_id) == want[r.doc_id]
+        same_components(jaccard.near_duplicates(docs), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_near_copies_go_by_row(spark, hard):
+    rows = [(r.doc_id, r.text) for r in hard.collect()]
+    groups, want = {}, 0
+    for (i, n, c), (_, text) in zip(helpers.components(rows), rows, strict=True):
+        if not n:
+            want += 1
+        else:
+            groups.setdefault(c if c is not None else text, []).append((i, text))
+    kept = jaccard.kept_documents(hard, jaccard.near_duplicates(hard, with_text_id=True))
+    assert kept.columns == hard.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == want + len(groups)
+    for members in groups.values():
+        stay = [x for x in got if x in members]
+        assert len(set(stay)) == 1 and (stay[0][0] is None or stay[0][0] == min(i for i, _ in members if i is not None))
+
+
+def test_shared_passages_are_told_apart(spark):
+    """Texts of two passages each, none alike: no pair is read, whatever their number."""
+    rng, pairs = random.Random(3), []
+    passages = [" ".join(f"p{k}w{i}" for i in range(60)) for k in range(40)]
+    for n in (200, 400):
+        rows = [(i, " ".join(rng.sample(passages, 2) + [f"z{i}"])) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        run = jaccard.JaccardJoin(docs, "doc_id", "text", 5, 80, "")
+        first = jaccard.table(run.first_pairs(), "test-pairs")
+        labels = jaccard.components(run.verified(first))
+        pairs.append(run.other_pairs(labels, first).count())
+        same_components(jaccard.near_duplicates(docs), rows)
+    assert max(pairs) <= 2 * 400
+
+
+def test_sketches_are_added_up_in_a_tree(spark, sf, monkeypatch):
+    docs = queries.read(spark, sf, "documents").repartition(9)
+    flat, total = jaccard.frequency_sketch(docs, "text", 5)
+    monkeypatch.setattr(jaccard, "FAN_IN", 2)
+    tree, again = jaccard.frequency_sketch(docs, "text", 5)
+    assert (flat == tree).all() and total == again
 
 
 def test_jaccard_groups_with_edits(spark, monkeypatch):
@@ -148,9 +222,7 @@ def test_jaccard_groups_with_edits(spark, monkeypatch):
     shared = " ".join(f"s{i}" for i in range(12))
     rows += [(len(rows) + k, " ".join([shared, *[f"k{k}x{i}" for i in range(40)]])) for k in range(80)]
     rng.shuffle(rows)
-    want = helpers.components(rows)
-    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == want
+    same_components(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
 def test_components(spark):
