@@ -1,18 +1,20 @@
 """WARC archives with a two-level capture index.
 
-Writing: each page becomes a gzip member in an archive of bounded size; archives are rows of a
-binary column, so they live wherever Spark can write and a lost executor costs no file
-(:func:`export_archives` turns them into files). Pages whose payload appeared under a smaller id
-become revisit records that carry the headers but not the payload.
+Writing: each page becomes a gzip member in an archive file of bounded size, in a folder that the whole
+cluster shares and pyarrow's file systems can reach. A file gets its name when it is complete, and a task that runs again
+writes the same names. Pages whose payload appeared under a smaller id become revisit records that carry
+the headers but not the payload.
 
 Index: the captures, sorted by reversed-host URL key, lie in compressed blocks. A directory keeps
 the first key of each block, and a sparse top level keeps every ``stride``-th of those, so that it has
 at most ``TOP_KEYS`` rows, whatever the number of captures. A lookup searches the top level, then the
-stretch of the directory below it, then inside every block that may hold the key, and reads just the records' byte ranges.
+stretch of the directory below it, then inside every block that may hold the key, and the records are read
+from the files by offset and length. Archives never shuffle, only places in them.
 
 Cases: null html counts as an empty payload, and empty payloads equal each other; a null url has the
-empty key; a null id sorts last and is written as ``null``; rows that agree in id and payload share
-one decision; an empty table gives an empty result; other columns are neither read nor returned.
+empty key; a null id sorts last and differs from any text, ``null`` included; rows that agree in id and payload share
+one decision, and every one of them is a record; ids and payloads may have any length and content; an empty
+table gives an empty result; other columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -22,23 +24,27 @@ import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .scratch import join_hot, table
+from .scratch import join_hot, new_path, table
 
 ARCHIVE_BYTES = 8 << 20
+#: Bytes of archives that one task reads records from.
+READ_BYTES = 64 << 20
 BLOCK_LINES = 256
+#: Captures that one task sorts.
+CAPTURES_PER_TASK = 1_000_000
 #: Keys of the top level, the only part of the index that is broadcast: some 16 MB.
 TOP_KEYS = 100_000
 #: Revisits up to this number are broadcast to the writer, else joined by shuffle.
 BROADCAST_REVISITS = 200_000
+#: What stays as it is in a record's URI; the rest, controls and blanks too, is percent-encoded.
+_URI = "".join(chr(c) for c in range(0x21, 0x7F))
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -59,36 +65,44 @@ def surt(url: str | None) -> str:
     return f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def capture_key(url: str | None, page: str) -> str:
-    """Key of one capture; the blank after the URL sorts below whatever may continue a URL."""
-    return f"{surt(url)} {page.rjust(20, '0')}"
+def capture_key(url: str | None, page: str | None) -> str:
+    """Key of one capture; the blank after the URL sorts below whatever may continue a URL. No id is shorter than any."""
+    return f"{surt(url)} {'~' if page is None else page.rjust(20, '0')}"
+
+
+def _urn(page: str | None) -> str:
+    return "<urn:nopage>" if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
+def _page(urn: str) -> str | None:
+    return unquote(urn[len("<urn:page:") : -1]) if urn.startswith("<urn:page:") else None
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+def record(page: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """A response record, or a revisit of ``refers_to``, as one gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    uri = quote(url or "", safe=_URI)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: {_urn(page)}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def parse(member: bytes) -> tuple[str, int, str, str, str | None]:
+def parse(member: bytes) -> tuple[str | None, int, str, str, str | None]:
     """(page, payload bytes, digest, type, refers to) of a gzip member; a response's digest is computed from what is stored."""
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -99,40 +113,48 @@ def parse(member: bytes) -> tuple[str, int, str, str, str | None]:
     stated, kind = fields["WARC-Payload-Digest"].partition(":")[2], fields["WARC-Type"]
     if kind == "response" and (len(payload) != length or digest(payload) != stated):
         raise ValueError(f"record {fields['WARC-Record-ID']} does not hold the payload it states")
-    name = lambda urn: urn[len("<urn:page:") : -1]
     refers = fields.get("WARC-Refers-To")
-    return name(fields["WARC-Record-ID"]), length, stated, kind, name(refers) if refers else None
+    return _page(fields["WARC-Record-ID"]), length, stated, kind, _page(refers) if refers else None
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    number, data, lines = 0, [], []
+def _store(folder: str):
+    """The file system of a folder that executors share, and its path there."""
+    from pyarrow import fs
 
-    def flush():
-        archive = f"{part:07d}-{number:05d}"
-        m = len(lines)
-        yield pa.record_batch(
-            [pa.array([archive]), pa.array([b"".join(data)], pa.binary()), pa.nulls(1, pa.string()), pa.array([0], pa.int64()), pa.array([0], pa.int64())], names=WRITTEN
-        )
-        yield pa.record_batch(
-            [pa.array([archive] * m), pa.nulls(m, pa.binary()), pa.array([x[0] for x in lines]), pa.array([x[1] for x in lines], pa.int64()), pa.array([x[2] for x in lines], pa.int64())], names=WRITTEN
-        )
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
 
-    held = 0
-    for batch in batches:
-        for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            member = record(page, url, (html or "").encode("utf-8", "surrogatepass"), refers)
-            lines.append((capture_key(url, page), held, len(member)))
-            data.append(member)
-            held += len(member)
-            if held >= ARCHIVE_BYTES:
-                yield from flush()
-                number, data, lines, held = number + 1, [], [], 0
-    if lines:
-        yield from flush()
 
+def _write(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        store.create_dir(root)
+        task = TaskContext.get()
+        number, data, lines, held = 0, [], [], 0
+
+        def flush():
+            name, m = f"{task.partitionId():07d}-{number:05d}.warc.gz", len(lines)
+            partial = f"{root}/.{name}.{task.taskAttemptId()}"
+            with store.open_output_stream(partial, compression=None) as out:
+                for member in data:
+                    out.write(member)
+            store.move(partial, f"{root}/{name}")
+            return pa.record_batch(
+                [pa.array([name] * m), *[pa.array([x[c] for x in lines], k) for c, k in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))]], names=["archive", "key", "offset", "length"]
+            )
 
-WRITTEN = ["archive", "data", "key", "offset", "length"]
+        for batch in batches:
+            for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                member = record(page, url, (html or "").encode("utf-8", "surrogatepass"), refers)
+                lines.append((capture_key(url, page), held, len(member)))
+                data.append(member)
+                held += len(member)
+                if held >= ARCHIVE_BYTES:
+                    yield flush()
+                    number, data, lines, held = number + 1, [], [], 0
+        if lines:
+            yield flush()
+
+    return run
 
 
 def revisits(pages: DataFrame, min_bytes: int, scope: str) -> DataFrame:
@@ -148,8 +170,8 @@ def revisits(pages: DataFrame, min_bytes: int, scope: str) -> DataFrame:
     return table(later.select("id", "sha", F.col("first").alias("refers_to")).distinct(), "warc-revisits", scope)
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, scope: str = "") -> DataFrame:
-    """Archives (archive, data) and captures (archive, key, offset, length), told apart by null ``data``."""
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, scope: str = "") -> DataFrame:
+    """Writes the archives of all pages into ``folder``: their captures (archive, key, offset, length)."""
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     again = revisits(pages, min_bytes, scope)
     sha = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
@@ -158,8 +180,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     marked = pages.withColumn("sha", sha).join(
         F.broadcast(again) if few else again.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2")), "left"
     )
-    text = [F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("page"), "url", "html", F.col("refers_to").cast("string").alias("refers_to")]
-    return table(marked.select(*text).mapInArrow(_write, "archive string, data binary, key string, offset long, length long"), "warc-archives", scope)
+    text = [F.col("id").cast("string").alias("page"), "url", "html", F.col("refers_to").cast("string").alias("refers_to")]
+    # with the captures written, the archives are not written again
+    return table(marked.select(*text).mapInArrow(_write(folder), "archive string, key string, offset long, length long"), "warc-captures", scope)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +214,12 @@ class CaptureIndex:
     """Blocks of sorted captures below a directory below a sparse top level."""
 
     def __init__(self, written: DataFrame, scope: str = ""):
-        captures = written.filter("data is null").select("key", "archive", "offset", "length")
+        captures = written.select("key", "archive", "offset", "length")
         self.spark = written.sparkSession
-        ordered = captures.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), captures.count() // CAPTURES_PER_TASK)
+        # copies of a key may be many: their places keep them in several ranges
+        order = ["key", "archive", "offset"]
+        ordered = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         self.blocks = table(ordered.mapInArrow(_blocks, "block long, first_key string, data binary"), "warc-blocks", scope)
         count = self.blocks.count()
         stride = count // TOP_KEYS + 1
@@ -260,24 +286,34 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["key", "archive", "offset", "length"])
 
 
-def _range_reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ranges, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            view = data.as_buffer()
-            rows = [parse(view.slice(r["offset"], r["length"]).to_pybytes()) for r in ranges]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+def _range_reads(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        at, file = None, None
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                rows = []
+                for archive, offset, length in zip(*(c.to_pylist() for c in batch.slice(begin, 500).columns), strict=True):
+                    if archive != at:
+                        if file is not None:
+                            file.close()
+                        at, file = archive, store.open_input_file(f"{root}/{archive}")
+                    rows.append(parse(file.read_at(length, offset)))
+                columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if file is not None:
+            file.close()
+
+    return run
 
 
-def read_records(written: DataFrame, found: DataFrame) -> DataFrame:
+def read_records(folder: str, found: DataFrame) -> DataFrame:
     """The records at the places in ``found`` (archive, offset, length): page, payload_bytes, payload_digest, record_type, refers_to."""
-    # an archive's size bounds its list
-    ranges = found.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    archives = written.filter("data is not null").select("archive", "data")
-    return archives.join(ranges.hint("shuffle_hash"), "archive").select("ranges", "data").mapInArrow(
-        _range_reads, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string"
-    )
+    asked = found.agg(F.sum("length")).first()[0] or 0
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked // READ_BYTES + 1)
+    places = found.select("archive", "offset", "length").repartition(parts, "archive").sortWithinPartitions("archive", "offset")
+    return places.mapInArrow(_range_reads(folder), "page string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,30 +321,18 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([capture_key(u, p) for p, u in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.string())], names=["key"])
 
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, scope: str = "") -> DataFrame:
-    """Write all pages, index them, and look every page up again: id, payload_bytes, payload_digest, record_type, refers_to."""
+def archive_pages(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, folder: str | None = None, scope: str = ""
+) -> DataFrame:
+    """Write all pages, index them, and look every page up again: id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Without a ``folder`` of their own the archives go to the shared scratch folder, and with it.
+    """
     kind = pages.schema[id_col].dataType.simpleString()
-    written = write_archives(pages, id_col, url_col, html_col, min_bytes, scope)
+    folder = folder or new_path(pages.sparkSession, "warc-archives", scope)
+    written = write_archives(pages, folder, id_col, url_col, html_col, min_bytes, scope)
     index = CaptureIndex(written, scope)
-    keys = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("page"), F.col(url_col).alias("url")).mapInArrow(_keys, "key string")
-    records = read_records(written, index.lookup(keys))
-    return records.select(F.expr(f"cast(nullif(page, 'null') as {kind})").alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
-
-
-def export_archives(written: DataFrame, folder: str) -> DataFrame:
-    """Write each archive as ``folder/<archive>.warc.gz`` (a folder that executors share, or an object store); (archive, bytes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root)
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                partial = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
-                with store.open_output_stream(partial) as out:
-                    out.write(data.as_buffer())
-                store.move(partial, f"{root}/{name}.warc.gz")
-            yield pa.record_batch([batch.column(0), pa.array(np.array([len(x.as_buffer()) for x in batch.column(1)], dtype=np.int64))], names=["archive", "bytes"])
-
-    return written.filter("data is not null").select("archive", "data").mapInArrow(run, T._parse_datatype_string("archive string, bytes long"))
+    keys = pages.select(F.col(id_col).cast("string").alias("page"), F.col(url_col).alias("url")).mapInArrow(_keys, "key string")
+    found = table(index.lookup(keys), "warc-found", scope)
+    records = read_records(folder, found)
+    return records.select(F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
