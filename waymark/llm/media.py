@@ -2,11 +2,13 @@
 
 :func:`wrap` stores a payload losslessly as 8-bit samples of a one-track file: ``ftyp``, ``moov`` with
 the sample tables, ``mdat``. :func:`probe` walks the nested boxes of such a file, decodes the
-sample tables and gives codec, duration and the byte ranges of the sync samples; it reads box
-headers and tables only, never the payload.
+sample tables and gives codec, duration and the time and byte range of every keyframe; it reads box
+headers and tables only, never the payload. :func:`media_column` writes the files to a table, and
+:func:`described` reads such a table.
 
 Cases: null text or bytes count as empty, which still fill one unit of zeros; equal payloads give
-equal files; ids may be null; repeated rows repeat; files over 4 GiB use 64-bit sizes and offsets.
+equal files; ids may be null; repeated rows repeat; texts of any length are stored whole, and files over 4 GiB
+use 64-bit sizes and offsets; an empty table gives an empty result; other columns, whatever their names, are not read.
 A file whose boxes overrun it, or that lacks a table, gives a ``ValueError`` naming the box.
 """
 
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import table
+
 UNIT = 64
 RATE = 8000
 #: Samples of one chunk; each chunk starts with a sync sample.
@@ -90,13 +94,15 @@ def wrap(payload: bytes, rate: int = RATE, chunk: int = CHUNK) -> bytes:
 
 @dataclass
 class Track:
-    """One track's tables, decoded; ``offset`` and ``size`` are of every sync sample's run up to the next."""
+    """One track's tables, decoded; ``times`` (ticks) and ``ranges`` (offset, size) are of every sync sample's run up to the next."""
 
     handler: str = ""
     codec: str = ""
     timescale: int = 0
-    duration: int = 0
+    duration: int = 0  # ticks of all samples, by the time-to-sample table
+    stated: int = 0  # the duration in the media header
     samples: int = 0
+    times: list[int] = field(default_factory=list)
     ranges: list[tuple[int, int]] = field(default_factory=list)
     tables: dict[bytes, memoryview] = field(default_factory=dict)
 
@@ -129,7 +135,7 @@ def probe(data: bytes) -> list[Track]:
                 tracks.append(Track())
             if kind == b"mdhd":
                 wide = view[a] == 1
-                tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if wide else ">II", view, a + (20 if wide else 12))
+                tracks[-1].timescale, tracks[-1].stated = struct.unpack_from(">IQ" if wide else ">II", view, a + (20 if wide else 12))
             elif kind == b"hdlr" and tracks:
                 tracks[-1].handler = bytes(view[a + 8 : a + 12]).decode("latin-1")
             elif kind == b"stsd":
@@ -177,6 +183,12 @@ def _locate(track: Track) -> None:
         nexts = np.minimum(np.append(sync[1:], track.samples), first[chunk] + per_chunk[chunk])
         size = upto[nexts] - upto[sync]
     track.ranges = list(zip(offset.tolist(), size.tolist(), strict=True))
+    steps = _table(track, b"stts", 2)  # runs of samples that last equally long
+    track.duration = int((steps[:, 0] * steps[:, 1]).sum())
+    upto = np.cumsum(steps[:, 0]) - steps[:, 0]
+    begun = np.cumsum(steps[:, 0] * steps[:, 1]) - steps[:, 0] * steps[:, 1]
+    run = np.searchsorted(upto, sync, "right") - 1
+    track.times = (begun[run] + (sync - upto[run]) * steps[run, 1]).tolist() if len(steps) else [0] * len(sync)
 
 
 def payload(data: bytes, track: Track) -> bytes:
@@ -189,36 +201,52 @@ def describe(track: Track) -> str:
     return f"{track.codec.strip()};{track.duration}/{track.timescale};samples={track.samples};sync={len(track.ranges)};first={first[0]}+{first[1]};last={last[0]}+{last[1]}"
 
 
-OUT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+KEYFRAMES = "array<struct<time:bigint,offset:bigint,size:bigint>>"
+#: Files of one Arrow batch.
+FILES = 500
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, FILES):
+            piece = batch.slice(at, FILES)
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in piece.column(1).to_pylist()]
+            yield pa.record_batch([piece.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([wrap(padded(r)) for r in raw], pa.binary())], names=[batch.schema.names[0], "n_bytes", "media"])
+
+
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str = "") -> DataFrame:
+    """(id, n_bytes, media): each text as a file, written to a table and read back."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]).add("n_bytes", T.LongType()).add("media", T.BinaryType())
+    return table(docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(_store, schema), "media", scope)
 
 
-def _store(with_media: bool):
+def _describe(with_keyframes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                rows, files = [], []
-                for text in piece.column(1).to_pylist():
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    media = wrap(padded(raw))
-                    (track,) = probe(media)
-                    back = payload(media, track)
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(track)))
-                    files.append(media)
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                arrays = [piece.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
-                names = [batch.schema.names[0], *[c.split()[0] for c in OUT.split(", ")]]
-                if with_media:
-                    arrays, names = [*arrays, pa.array(files, pa.binary())], [*names, "media"]
-                yield pa.record_batch(arrays, names=names)
+            rows, frames = [], []
+            for media in batch.column(2):
+                data = media.as_py()
+                (track,) = probe(data)
+                back = payload(data, track)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), describe(track)))
+                if with_keyframes:
+                    frames.append([{"time": t, "offset": a, "size": n} for t, (a, n) in zip(track.times, track.ranges, strict=True)])
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            arrays = [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
+            names = [batch.schema.names[0], *[c.split()[0] for c in FEATURES.split(", ")]]
+            if with_keyframes:
+                arrays.append(pa.array(frames, pa.list_(pa.struct([(c, pa.int64()) for c in ("time", "offset", "size")]))))
+                names.append("keyframes")
+            yield pa.record_batch(arrays, names=names)
 
     return run
 
 
-def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """One row per input row: id, digests of payload and file, ``feature``, and the file itself as ``media``."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T._parse_datatype_string(OUT).fields])
-    if with_media:
-        schema = schema.add("media", T.BinaryType())
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(_store(with_media), schema)
+def described(stored: DataFrame, with_keyframes: bool = True) -> DataFrame:
+    """(id, n_bytes, media) to one row a file: id, digests of payload and file, ``feature`` and ``keyframes`` (time in ticks, offset, size)."""
+    schema = T.StructType([stored.schema.fields[0], *T._parse_datatype_string(FEATURES).fields])
+    if with_keyframes:
+        schema = schema.add("keyframes", T._parse_datatype_string(KEYFRAMES))
+    return stored.mapInArrow(_describe(with_keyframes), schema)

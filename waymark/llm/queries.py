@@ -64,7 +64,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_column(read(spark, sf_dir, "documents"), with_media=False)
+    return media.described(media.media_column(read(spark, sf_dir, "documents")))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
