@@ -115,6 +115,66 @@ def test_label_model_finds_accurate_voters():
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.88
 
 
+def test_label_model_beats_majority_vote():
+    """Five copies of a poor voter outvote three good ones, but not in the model."""
+    rng = np.random.default_rng(6)
+    y = rng.random(6000) < 0.4
+    good = [np.where(rng.random(6000) < 0.85, y, ~y) for _ in range(3)]
+    poor = np.where(rng.random(6000) < 0.6, y, ~y)
+    copies = [np.where(rng.random(6000) < 0.95, poor, ~poor) for _ in range(5)]
+    votes = np.stack([*good, *copies], axis=1).astype(int) * 2 - 1
+    model = toxicity.LabelModel.fit(votes, np.where(votes[:, :3].sum(axis=1) > 0, 0.7, 0.3))
+    right, majority = ((model.posterior(votes) > 0.5) == y).mean(), ((votes.sum(axis=1) > 0) == y).mean()
+    assert right > majority + 0.05 and model.correlation[3, 4] > 0.5 > abs(model.correlation[0, 3])
+
+
+def plain_score(model, text):
+    """What the fitted classifier gives one text, word by word."""
+    raw = text.encode()
+    style = toxicity.patterns(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0] @ model.style
+    lowered = bytes(b + 32 if 65 <= b < 91 else b for b in raw)
+    words = [w for w in __import__("re").split(rb"[^a-z\x80-\xff]+", lowered) if w]
+    counts = {}
+    for w in words:
+        own = toxicity.textnum.Words(np.frombuffer(w, dtype=np.uint8), np.array([0, len(w)]), toxicity._LETTERS)
+        for h in toxicity._kinds(own):
+            code = int(h[0] >> np.uint64(32))
+            if code:
+                counts[code] = counts.get(code, 0) + 1
+    total = model.bias + style
+    for k, code in enumerate(model.entries.tolist()):
+        total += sum(w for w, least in zip(model.weights[k], toxicity.LEVELS, strict=True) if counts.get(code, 0) >= least)
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def test_toxicity_scores_every_row_like_a_plain_scorer(spark, sf):
+    docs, labels = queries.read(spark, sf, "documents"), queries.read(spark, sf, "labels")
+    model = toxicity.fit(docs.selectExpr("doc_id as id", "text"), toxicity.train_labels(labels, "toxic", "doc_id", 5, 0))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    want = {r.doc_id: plain_score(model, r.text or "") for r in docs.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_languages_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = {"de": ["und", "nicht", "haus", "strasse", "wir", "gehen"], "en": ["and", "not", "house", "street", "we", "walk"]}
+    rows = [(5 if i % 2 else i, " ".join(rng.choice(vocabulary[lang], 20)), lang) for i in range(400) for lang in vocabulary]
+    out = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {(i, t): lang for i, t, lang in rows}
+    assert [r.lang_pred for r in out.collect()] == [want[i, t] for i, t, _ in rows]
+
+
+def test_samples_are_bounded(spark):
+    from waymark.llm.sample import labelled_rows, labelled_sample
+
+    docs = spark.range(3000).selectExpr("id % 3 as id", "concat('t', id) as text", "id % 2 as label")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, 1), (2, 1)], "id long, label long")
+    got = labelled_sample(docs.select("id", "text"), labels, 100, 1000).collect()
+    assert 100 < len(got) < 500 and {r.label for r in got} == {0, 1}
+    assert sum(r.weight for r in got if r.label == 1) == pytest.approx(2000, rel=0.4)
+    assert len(labelled_rows(docs, 100, 1000).collect()) < 500
+
+
 def test_rules_compile_to_what_they_hold(spark):
     rng = np.random.default_rng(1)
     x = rng.random((400, len(quality.STATISTICS)))

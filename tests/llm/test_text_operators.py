@@ -249,22 +249,63 @@ def test_media_round_trip(size):
 
 def test_media_rejects_broken_files():
     data = media.wrap(bytes(64))
-    for bad in (data[:-1], data[:5], data.replace(b"stsz", b"xxxx")):
+    for bad in (data[:-1], data[:5], data.replace(b"stsz", b"xxxx"), data.replace(b"stts", b"xxxx")):
         with pytest.raises(ValueError):
             media.probe(bad)
 
 
-def test_media_column(spark, hard):
+def plain_boxes(data, at, end):
+    """Every box of a file by path, read with another walker than the operator's."""
+    out = {}
+    while at < end:
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8].decode("latin-1")
+        out[kind] = data[at + 8 : at + size]
+        if kind in ("moov", "trak", "mdia", "minf", "stbl"):
+            out |= plain_boxes(data, at + 8, at + size)
+        at += size
+    return out
+
+
+def check_media(docs):
     import hashlib
 
-    out = media.media_column(hard)
-    for r in out.collect():
-        (track,) = media.probe(bytes(r.media))
-        back = media.payload(bytes(r.media), track)
-        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
-    same = out.join(hard.select("doc_id", "text").distinct(), "doc_id").groupBy("text").agg(F.count_distinct("media_sha256").alias("n"))
-    assert same.filter("n > 1").count() == 0 and media.media_column(hard.limit(0)).count() == 0
+    stored = media.media_column(docs)
+    files, texts = sorted((bytes(r.media) for r in stored.collect())), sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
+    rows = media.described(stored).collect()
+    want = []
+    for i, text in texts:
+        raw = text.encode()
+        full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        want.append((i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])))
+    assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows), key=repr) == sorted(want, key=repr)
+    by_digest = {hashlib.sha256(f).hexdigest(): f for f in files}
+    for r in rows:
+        data = by_digest[r.media_sha256]
+        boxes = plain_boxes(data, 0, len(data))
+        assert r.media_bytes == len(data) and hashlib.sha256(boxes["mdat"]).hexdigest() == r.payload_sha256
+        at = np.frombuffer(boxes["stco"][8:], ">u4").tolist()
+        assert [k.offset for k in r.keyframes] == at and b"".join(data[k.offset : k.offset + k.size] for k in r.keyframes) == boxes["mdat"]
+        assert [k.time for k in r.keyframes] == [k.offset - at[0] for k in r.keyframes]
+        assert f";{r.payload_bytes}/8000;" in r.feature and r.feature.startswith("raw;")
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in rows}) == len({r.payload_sha256 for r in rows})
+
+
+def test_media_column(spark, sf, hard):
+    check_media(hard)
+    check_media(queries.read(spark, sf, "documents").withColumnRenamed("lang", "media"))
+    assert media.described(media.media_column(hard.limit(0))).count() == 0
+
+
+def test_sample_times():
+    track = media.Track(tables={
+        b"stsz": memoryview(bytes(4) + (0).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"".join(n.to_bytes(4, "big") for n in (5, 6, 7, 8))),
+        b"stco": memoryview(bytes(4) + (2).to_bytes(4, "big") + (100).to_bytes(4, "big") + (200).to_bytes(4, "big")),
+        b"stsc": memoryview(bytes(4) + (1).to_bytes(4, "big") + b"".join(n.to_bytes(4, "big") for n in (1, 2, 1))),
+        b"stts": memoryview(bytes(4) + (2).to_bytes(4, "big") + b"".join(n.to_bytes(4, "big") for n in (3, 10, 1, 30))),
+        b"stss": memoryview(bytes(4) + (2).to_bytes(4, "big") + (1).to_bytes(4, "big") + (4).to_bytes(4, "big")),
+    })
+    media._locate(track)
+    assert (track.duration, track.times, track.ranges) == (60, [0, 30], [(100, 11), (207, 8)])
 
 
 def test_preference_cases(spark):

@@ -11,8 +11,8 @@ most (parameters), weighed by 1 over their label's sampling share; scoring cover
 driver gets the mined entries, then which of them each text has.
 
 Cases: null text counts as empty and an empty text gets the score of a text without any hit; null ids
-are held out; repeated rows get the same score; without any labelled row the score is the prior
-0; an empty table gives an empty result. Extra columns are not read; :func:`keep_clean` passes them on.
+are held out; repeated rows get the same score; an id with several labels has the largest; very long texts are
+scored whole, but not fitted on; without any labelled row the score is the prior 0; an empty table gives an empty result. Extra columns are not read; :func:`keep_clean` passes them on.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ STEMS = (4, 5, 6)
 LEVELS = (1, 2, 3, 5)
 #: Lexicons; each votes as one.
 GROUPS = 32
+#: Entries that are mined at most, the most telling first (a parameter that bounds what the driver holds).
 MAX_ENTRIES = 2000
 #: Sample texts whose hashes are worked on together.
 SLICE = 100
@@ -102,6 +103,7 @@ class LabelModel:
     prior: float
     log_odds: np.ndarray  # (voter, vote + 1): log p(vote | 1) - log p(vote | 0)
     weight: np.ndarray
+    correlation: np.ndarray  # (voter, voter): of what the classes do not explain
 
     @staticmethod
     def fit(votes: np.ndarray, start: np.ndarray, rounds: int = 30, row_weight: np.ndarray | None = None) -> LabelModel:
@@ -130,7 +132,7 @@ class LabelModel:
             post = new
             if done:
                 break
-        return LabelModel(prior, log_odds, weight)
+        return LabelModel(prior, log_odds, weight, corr)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         picked = self.log_odds[np.arange(votes.shape[1]), votes + 1]
