@@ -46,13 +46,13 @@ def unmapped(status: Column, meanings: dict[str, str]) -> Column:
 
 
 def as_of(rows: DataFrame, versions: DataFrame, key: str, at: str, row_id: str, value: list[str]) -> DataFrame:
-    """``rows`` with the version of ``key`` in effect at ``at``: latest start at or before it, not ended by it.
+    """``rows`` with the version of ``key`` in effect at ``at``: latest start at or before it (one that is not known is the earliest), not ended by it.
 
     ``versions`` has ``key``, ``effect_from``, ``effect_until`` and the ``value`` columns. An equality join on the
     key with the range as a filter, then a best-of aggregate; rows without a version keep nulls.
     """
     v = versions.select(F.col(key).alias("_key"), "effect_from", "effect_until", *[F.col(c).alias(f"_{c}") for c in value])
-    holds = (F.col("effect_from") <= F.col(at)) & (F.col("effect_until").isNull() | (F.col(at) < F.col("effect_until")))
+    holds = (F.col("effect_from").isNull() | (F.col("effect_from") <= F.col(at))) & (F.col("effect_until").isNull() | (F.col(at) < F.col("effect_until")))
     hits = rows.select(row_id, key, at).join(v, (F.col(key) == F.col("_key")) & holds)
     order = F.struct(F.col("effect_from"), *[F.col(f"_{c}") for c in value])
     best = hits.groupBy(row_id).agg(F.max_by(F.struct("effect_from", *[F.col(f"_{c}").alias(c) for c in value]), order).alias("v"))

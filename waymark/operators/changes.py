@@ -28,6 +28,7 @@ def fold_versions(changes: DataFrame, key: str, now: Column) -> DataFrame:
         effective(F.col("effect_from"), F.col("effect_until"), now).alias("now"),
         F.coalesce("effect_from", never).alias("effect"),
         F.coalesce("recorded_from", never).alias("record"),
+        F.xxhash64(*[c for c in changes.columns if c != key]).alias("tie"),  # equal versions: the same one in every run
     )
     open_ = F.col("recorded_until").isNull()
     whole = F.struct(*[c for c in changes.columns if c != key])
@@ -38,7 +39,7 @@ def fold_versions(changes: DataFrame, key: str, now: Column) -> DataFrame:
 
 def fold_status(changes: DataFrame, key: str, current: Column, tie: str) -> DataFrame:
     """The newest generation's row of each key; within it a current one first, then the smallest ``tie``. Never a tombstone."""
-    order = F.struct(-F.col("generation"), F.when(current, 0).otherwise(1), F.col(tie))
+    order = F.struct(-F.col("generation"), F.when(current, 0).otherwise(1), F.col(tie), F.xxhash64(*changes.columns))
     whole = F.struct(*[c for c in changes.columns if c != key])
     last = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(whole, order).alias("row"))
     return last.select(key, *[F.col(f"row.{c}").alias(c) for c in changes.columns if c != key])
@@ -48,7 +49,7 @@ def fold_history(changes: DataFrame, keys: list[str]) -> DataFrame:
     """One row per composite key, of its latest generation; rows with a null in the key are left out."""
     complete = changes.dropna(subset=keys)
     whole = F.struct(*[c for c in changes.columns if c not in keys])
-    last = complete.groupBy(*keys).agg(F.max_by(whole, "generation").alias("row"))
+    last = complete.groupBy(*keys).agg(F.max_by(whole, F.struct("generation", F.xxhash64(*changes.columns))).alias("row"))
     return last.select(*keys, *[F.col(f"row.{c}").alias(c) for c in changes.columns if c not in keys])
 
 
@@ -96,3 +97,47 @@ def staging_plan(deltas: DataFrame, cursors: DataFrame, by: str) -> DataFrame:
 
 def contract_hash(spec: Column) -> Column:
     return F.sha2(F.to_json(spec), 256)
+
+
+def needs_build(cursors: DataFrame, watermark: DataFrame, shape: str | None, fingerprint: str) -> DataFrame:
+    """One row (moved, reshaped, build): whether the staged tables (entity, cursor, contract) differ from the ``watermark`` of the last build, or no generation has this shape."""
+    both = cursors.select("entity", F.struct("cursor", "contract").alias("now")).join(watermark.select("entity", F.struct("cursor", "contract").alias("then")), "entity", "full")
+    moved = both.agg(F.count_if(~F.col("now").eqNullSafe(F.col("then"))).alias("moved"))
+    reshaped = F.lit(shape is None or shape != fingerprint)
+    return moved.select("moved", reshaped.alias("reshaped"), ((F.col("moved") > 0) | reshaped).alias("build"))
+
+
+def should_swap(serving: Column, serving_contract: Column, candidate: Column, candidate_contract: Column) -> Column:
+    """Whether to serve another generation: one that exists, is not served yet, and is of no older contract."""
+    return candidate.isNotNull() & ~candidate.eqNullSafe(serving) & F.coalesce(candidate_contract >= serving_contract, F.lit(True))
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """A register's listing (page, of_pages, ...) as files; a listing of several pages is an error, since the rest is not there."""
+    if not files.filter("of_pages > 1").isEmpty():
+        raise ValueError("the listing has more pages than one")
+    return files.drop("page", "of_pages")
+
+
+def lineage(deltas: DataFrame, by: list[str]) -> DataFrame:
+    """Deltas of the newest data model of each entity, one a generation: others cannot be applied to it."""
+    newest = F.max("version").over(Window.partitionBy(*by))
+    same = deltas.withColumn("_newest", newest).filter("version = _newest").drop("_newest")
+    return same.groupBy(*by, "generation").agg(F.min(F.struct("file", "version", "bytes")).alias("f")).select(*by, "generation", "f.*")
+
+
+def baseline_cursor(newest: Column, total_generation: Column, first_delta: Column) -> Column:
+    """Where a baseline starts to replay: ``OVERLAP`` generations back, not past the full file's own; null (fatal) where deltas begin later than that."""
+    start = F.least(F.greatest(newest - OVERLAP, F.lit(0)), total_generation)
+    return F.when(first_delta.isNull() | (first_delta <= start + 1), start)
+
+
+TRANSIENT = ("timeout", "connection", "unavailable", "throttled")
+
+
+def next_attempt(error: Column, attempt: Column, first: int = 30, most: int = 900) -> Column:
+    """Seconds until a failed load is tried again: doubled each time up to ``most``; null for an error that would come again."""
+    passing = F.lit(False)
+    for word in TRANSIENT:
+        passing = passing | F.lower(error).contains(word)
+    return F.when(passing, F.least(F.lit(float(most)), F.lit(float(first)) * F.pow(F.lit(2.0), attempt - 1)))

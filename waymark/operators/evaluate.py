@@ -66,3 +66,94 @@ def throughput(results: DataFrame, seconds: Column) -> DataFrame:
         F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "shed").alias("shed"), F.count_if(F.col("status") == "error").alias("errors"),
         F.count_if((F.col("status") == "ok") & (F.col("found") == 0)).alias("empty"), (F.count_if(F.col("status") == "ok") / F.max(seconds)).alias("per_second"),
     )
+
+
+def corpus_faults(records: DataFrame, configured: list[str], normalized_of=None) -> DataFrame:
+    """(fault, n): what is wrong with a corpus: records whose ``noise`` is not the number of their ``mutations``, that name one twice, or have a span
+    outside their text, ``configured`` mutations and tiers that no record has, and no record without ``target``. Only faults that occur are returned."""
+    listed = F.col("mutations")
+    tests = {
+        "noise differs from mutations": F.col("noise") != F.size(listed),
+        "a mutation twice": F.size(listed) != F.size(F.array_distinct(listed)),
+        "a span outside the text": F.exists("spans", lambda s: (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("normalized"))),
+    }
+    if normalized_of is not None:
+        tests["normalised otherwise"] = normalized_of(F.col("raw")) != F.col("normalized")
+    want = F.array(*[F.lit(x) for x in configured])
+    seen = records.agg(
+        *[F.count_if(test).alias(name) for name, test in tests.items()],
+        F.size(F.array_except(want, F.flatten(F.collect_set(listed)))).cast("long").alias("mutations that no record has"),  # as many sets as there are combinations of names
+        F.size(F.array_except(F.array(*[F.lit(x) for x in (1, 2, 3)]), F.collect_set("tier"))).cast("long").alias("tiers that no record has"),
+        (F.count_if(F.col("target").isNull()) == 0).cast("long").alias("no record without target"),
+    )
+    names = [*tests, "mutations that no record has", "tiers that no record has", "no record without target"]
+    return seen.select(F.explode(F.array(*[F.struct(F.lit(n).alias("fault"), F.col(f"`{n}`").alias("n")) for n in names])).alias("f")).select("f.*").filter("n > 0")
+
+
+def mutation_gaps(records: DataFrame, configured: list[str]) -> DataFrame:
+    """(missing, unknown): configured mutations that no record has, and names that are not configured."""
+    seen = records.select(F.explode("mutations").alias("m")).distinct().agg(F.collect_set("m").alias("seen"))  # as many as there are names
+    want = F.array(*[F.lit(x) for x in configured])
+    return seen.select(F.array_sort(F.array_except(want, "seen")).alias("missing"), F.array_sort(F.array_except("seen", want)).alias("unknown"))
+
+
+def machine_factor(now: DataFrame, baked: DataFrame, spread: float = 0.15, divergence: float = 1.5) -> DataFrame:
+    """One row: how this machine compares with the one of the published figures, and whether the comparison can be trusted.
+
+    ``now`` and ``baked`` have (kernel, seconds), one row a repetition; the factor is the median over kernels of the ratio of medians.
+    """
+    per = lambda df, name: df.groupBy("kernel").agg(F.median("seconds").alias(name), ((F.max("seconds") - F.min("seconds")) / F.median("seconds")).alias(f"{name}_spread"))
+    both = per(now, "own").join(per(baked, "then"), "kernel").withColumn("ratio", F.col("then") / F.col("own"))
+    out = both.agg(F.median("ratio").alias("factor"), (F.max("ratio") / F.min("ratio")).alias("divergence"), F.count_if(F.col("own_spread") > spread).alias("noisy"))
+    return out.withColumn("trusted", (F.col("noisy") == 0) & (F.col("divergence") <= divergence))
+
+
+def thinned(values: DataFrame, value: str, most: int) -> DataFrame:
+    """At most ``most`` of the distinct values, evenly spaced in their order: every n-th, and the largest. For grids, whose values are few."""
+    distinct = values.select(value).distinct()
+    stride = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / F.lit(most))
+    placed = distinct.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(value))) - 1).withColumn("_s", stride)
+    return placed.filter("_n % _s = 0").select(value)
+
+
+FACTORS = (0.25, 0.5, 0.8, 1.25, 2.0, 4.0)
+
+
+def objective(grades: DataFrame, weights: dict[str, float], eps: float = 1e-3) -> tuple[float, float]:
+    """(recall at 5, mean reciprocal rank) of candidates (qid, candidate, is_target, and a grade or null an axis) scored by ``weights``."""
+    total = sum((F.coalesce(F.lit(w) * F.ln(F.lit(eps) + F.col(axis)), F.lit(0.0)) for axis, w in weights.items()), F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_score"), "candidate"))
+    hit = grades.withColumn("_score", total).withColumn("_rank", rank).groupBy("qid").agg(F.min(F.when(F.col("is_target"), F.col("_rank"))).alias("rank"))
+    row = rank_metrics(hit).first()
+    return round(row.recall_5 or 0.0, 9), round(row.mrr or 0.0, 9)
+
+
+def tuned_weights(grades: DataFrame, weights: dict[str, float], passes: int = 3, factors: tuple[float, ...] = FACTORS, eps: float = 1e-3) -> tuple[dict[str, float], tuple[float, float]]:
+    """Weights after coordinate ascent on :func:`objective`: each axis in turn takes the factor that is best, until a pass changes nothing.
+
+    All factors of an axis are scored in one pass over the candidates, so a round costs one aggregate an axis.
+    """
+    now, best = dict(weights), objective(grades, weights, eps)
+    for _ in range(passes):
+        changed = False
+        for axis in list(now):
+            found = []
+            for factor, (recall, mrr) in zip(factors, _trials(grades, now, axis, factors, eps), strict=True):
+                found.append(((recall, mrr), factor))
+            top, factor = max(found, key=lambda x: x[0])
+            if top > best:
+                best, now[axis], changed = top, now[axis] * factor, True
+        if not changed:
+            break
+    return now, best
+
+
+def _trials(grades: DataFrame, weights: dict[str, float], axis: str, factors: tuple[float, ...], eps: float) -> list[tuple[float, float]]:
+    part = lambda a, w: F.coalesce(F.lit(w) * F.ln(F.lit(eps) + F.col(a)), F.lit(0.0))
+    rest = sum((part(a, w) for a, w in weights.items() if a != axis), F.lit(0.0))
+    tried = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (rest + part(axis, weights[axis] * f)).alias("score")) for k, f in enumerate(factors)]))
+    each = grades.select("qid", "candidate", "is_target", tried.alias("t")).select("qid", "candidate", "is_target", "t.*")
+    rank = F.row_number().over(Window.partitionBy("k", "qid").orderBy(F.desc("score"), "candidate"))
+    hit = each.withColumn("_rank", rank).groupBy("k", "qid").agg(F.min(F.when(F.col("is_target"), F.col("_rank"))).alias("rank"))
+    rows = {r.k: r for r in rank_metrics(hit, ["k"]).collect()}  # one row a factor
+    return [(round(rows[k].recall_5 or 0.0, 9), round(rows[k].mrr or 0.0, 9)) if k in rows else (0.0, 0.0) for k in range(len(factors))]

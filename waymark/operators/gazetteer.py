@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trigrams
 from .knn import ranked, similarities
 from .sized import small
 
-#: Components from the finest area to the coarsest.
+# Components from the finest area to the coarsest, the parts of an address, and how many children are shown.
 DEPTH = ("sogn", "postcode", "city", "sub_locality", "kommune", "region")
 ADDRESS_PARTS = ("street", "house_number", "house_letter", "floor", "door", "postcode", "city", "sub_locality")
 CHILDREN_SHOWN = 1000
@@ -40,9 +41,9 @@ def feature_confidence(rank: Column, score: Column, next_score: Column) -> Colum
     return F.when((rank > 1) | flat, "C").when(score >= 1 - SAME, "A").otherwise("B")
 
 
-def with_feature_confidence(hits: DataFrame, query: str = "query") -> DataFrame:
+def with_feature_confidence(hits: DataFrame, *query: str) -> DataFrame:
     """``hits`` (query, rank, sim) with ``confidence``."""
-    after = F.lead("sim").over(Window.partitionBy(query).orderBy("rank"))
+    after = F.lead("sim").over(Window.partitionBy(*(query or ("query",))).orderBy("rank"))
     return hits.withColumn("confidence", feature_confidence(F.col("rank"), F.col("sim"), after))
 
 
@@ -69,7 +70,7 @@ def road_features(queries: DataFrame, streets: DataFrame, roads: DataFrame, cap:
     near = ranked(sims, cap, [F.desc("sim"), "street_id"], ["query"]).drop("rank")
     asked = queries.select("query", "pin").distinct().join(near, "query")
     hits = asked.join(roads.filter(F.col("lifecycle").isin(*lifecycles)), "street_id").filter(F.coalesce(F.arrays_overlap("postcodes", "pin"), F.lit(True)))
-    return with_feature_confidence(ranked(hits, cap, [F.desc("sim"), "road_id"], ["query"]))
+    return with_feature_confidence(ranked(hits, cap, [F.desc("sim"), "road_id"], ["query", "pin"]), "query", "pin")
 
 
 def property_by_code(queries: DataFrame, properties: DataFrame, parcels: DataFrame, cap: int) -> DataFrame:
@@ -80,10 +81,28 @@ def property_by_code(queries: DataFrame, properties: DataFrame, parcels: DataFra
     return ranked(best, cap, ["priority", "bfe"], ["query"])
 
 
+def label_hits(queries: DataFrame, parcels: DataFrame, similarity_of, threshold: float = 0.6) -> DataFrame:
+    """(query, the parcel's columns, sim) of parcels (folded) whose label holds the query to ``threshold`` or more, by ``similarity_of``.
+
+    A stretch can only be that similar if it has that share of the query's trigrams, so it has one of the rarest of them: such
+    a query shares one of its first trigrams, rarest first, with the label. Only labels that do are measured.
+    """
+    asked = queries.select("query").filter("query <> ''").distinct().withColumn("grams", trigrams(F.col("query")))
+    labels = parcels.select("folded").filter("folded is not null").distinct().withColumn("grams", trigrams(F.col("folded")))
+    posted = labels.select("folded", F.explode("grams").alias("gram"))
+    counts = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = asked.select("query", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(counts, "gram", "left")
+    first = own.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("n", F.lit(0)), "gram")))
+    # of size trigrams at least ceil(threshold * size) are in the label, so one of the first size - that + 1 is
+    first = first.filter(F.col("at") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1)
+    pairs = first.select("query", "gram").join(posted, "gram").select("query", "folded").distinct()
+    near = pairs.withColumn("sim", similarity_of(F.col("query"), F.col("folded"))).filter(F.col("sim") >= threshold)
+    return near.join(parcels, "folded")
+
+
 def property_by_label(queries: DataFrame, parcels: DataFrame, similarity_of, cap: int, threshold: float = 0.6) -> DataFrame:
     """Parcels (bfe, parcel, folded) by word similarity of their label: an over-fetch, one row a property, then the cap."""
-    sim = similarity_of(F.col("query"), F.col("folded"))
-    pairs = queries.select("query").distinct().join(small(parcels), F.length("query") > 0).withColumn("sim", sim).filter(F.col("sim") >= threshold)
+    pairs = label_hits(queries, parcels, similarity_of, threshold)
     wide = ranked(pairs, min(10 * cap, 1000), [F.desc("sim"), "bfe", "parcel"], ["query"]).drop("rank")
     one = ranked(wide, 1, [F.desc("sim"), "parcel"], ["query", "bfe"]).drop("rank")
     return with_feature_confidence(ranked(one, cap, [F.desc("sim"), "bfe"], ["query"]))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trigrams
-from .sized import ROWS, is_small
+from ..functions.text import ratio, trigrams
+from .sized import ROWS, is_small, small
 
 #: Similarities below this are not kept; the bound belongs to what is kept.
 FLOOR = 0.1
@@ -23,13 +23,13 @@ def similarities(queries: DataFrame, names: DataFrame, query_col: str = "query",
     known = names.select(F.col(name_col).alias("name")).filter("name is not null").distinct().withColumn("n_grams", trigrams(F.col("name")))
     left = q.select("query", F.size("q_grams").alias("q_size"), F.explode("q_grams").alias("gram"))
     right = known.select("name", F.size("n_grams").alias("n_size"), F.explode("n_grams").alias("gram"))
-    # a name has some ten trigrams
-    near = F.broadcast if is_small(names, ROWS // 10) else (lambda df: df)
+    # the rows that would be broadcast are counted as they are: some ten a name
+    near = F.broadcast if is_small(right, ROWS) else (lambda df: df)
     common = left.join(near(right), "gram").groupBy("query", "name", "q_size", "n_size").agg(F.count(F.lit(1)).alias("common"))
     sim = F.col("common") / (F.col("q_size") + F.col("n_size") - F.col("common"))
     scored = common.select("query", "name", sim.alias("sim")).filter(F.col("sim") >= FLOOR)
     ids = names.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"))
-    return scored.join(near(ids), "name").select("query", "id", "sim")
+    return scored.join(small(ids), "name").select("query", "id", "sim")
 
 
 def ranked(hits: DataFrame, cap: int, by: list, partition: list[str]) -> DataFrame:
@@ -44,12 +44,48 @@ def knn(queries: DataFrame, names: DataFrame, cap: int, query_col: str = "query"
 
 
 def street_combos(sims: DataFrame, bridge: DataFrame, cap: int, pins: DataFrame | None = None) -> DataFrame:
-    """(qid, street_id, postcode, sim, rank) of the first ``cap`` combinations of street and postcode.
+    """(qid, street_id, postcode, sim, rank) of the first ``cap`` combinations of street and postcode, with what else ``sims`` has.
 
-    ``sims`` has (qid, street_id, sim); ``pins`` (qid, postcodes) confines a query to postcodes: a null
-    array pins nothing, an unknown postcode leaves nothing.
+    ``sims`` has (qid, street_id, sim), perhaps ``alias_lifecycle``, null for a street's own name, which comes before earlier ones; ``pins``
+    (qid, postcodes) confines a query to postcodes: a null array pins nothing, an unknown postcode leaves nothing.
     """
     combos = sims.join(bridge.select("street_id", "postcode").distinct(), "street_id")
     if pins is not None:
-        combos = combos.join(pins, "qid", "left").filter(F.coalesce(F.array_contains("postcodes", F.col("postcode")), F.lit(True)))
-    return ranked(combos.select("qid", "street_id", "postcode", "sim"), cap, [F.desc("sim"), "street_id", "postcode"], ["qid"])
+        combos = combos.join(pins, "qid", "left").filter(F.coalesce(F.array_contains("postcodes", F.col("postcode")), F.lit(True))).drop("postcodes")
+    order = [F.desc("sim"), "street_id"]
+    if "alias_lifecycle" in sims.columns:
+        order.append(F.col("alias_lifecycle").isNotNull())
+    if "folded_street" in sims.columns:
+        order.append("folded_street")
+    return ranked(combos, cap, [*order, "postcode"], ["qid"])
+
+
+def close_members(tokens: DataFrame, names: DataFrame, cutoff: float, n: int | None = None) -> DataFrame:
+    """(token, name, ratio, rank) of the names close to each token: itself if it is one, else those of a matching ratio of ``cutoff`` or more, best first.
+
+    A ratio counts twice the matched characters over all of them, so no pair that shares fewer characters than ``cutoff`` asks for can
+    reach it. Tokens and names meet by a character that both have among their first, rarest ones, and by their lengths.
+    """
+    t = tokens.select("token").filter("token is not null").distinct()
+    known = names.select("name").filter("name is not null").distinct()
+    exact = t.join(known, F.col("token") == F.col("name")).select("token", "name", F.lit(1.0).alias("ratio"))
+    rest = t.join(exact.select("token"), "token", "left_anti")
+
+    def letters(rows: DataFrame, text: str) -> DataFrame:
+        """A character and which occurrence of it in the text it is."""
+        chars = rows.select(text, F.length(text).alias("size"), F.explode(F.filter(F.split(text, ""), lambda c: c != "")).alias("char"))
+        counts = chars.groupBy(text, "size", "char").agg(F.count(F.lit(1)).alias("times"))
+        numbered = F.transform(F.sequence(F.lit(1).cast("long"), F.col("times")), lambda k: F.concat_ws("#", "char", k.cast("string")))
+        return counts.select(text, "size", F.explode(numbered).alias("char"))
+
+    a, b = letters(rest, "token"), letters(known, "name")
+    counts = b.groupBy("char").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("token").orderBy(F.coalesce("n", F.lit(0)), "char")
+    # at least cutoff / (2 - cutoff) of the token's characters are matched, whatever the name
+    first = a.join(counts, "char", "left").withColumn("at", F.row_number().over(order))
+    first = first.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * (cutoff / (2 - cutoff)) - 1e-9) + 1)
+    fits = 2 * F.least("size", "size_b") >= (cutoff - 1e-9) * (F.col("size") + F.col("size_b"))
+    pairs = first.select("token", "size", "char").join(b.select("name", F.col("size").alias("size_b"), "char"), "char").filter(fits).select("token", "name").distinct()
+    near = pairs.withColumn("ratio", ratio(F.col("token"), F.col("name"))).filter(F.col("ratio") >= cutoff)
+    found = exact.unionByName(near)
+    return ranked(found, n or 1 << 30, [F.desc("ratio"), F.desc("name")], ["token"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edit_cost, similarity, trigrams
 from ..sources.staging import staged
-from .knn import ranked, similarities, street_combos
+from .knn import close_members, ranked, similarities, street_combos
 from .sized import small
 
 # The calibrated weights and margins of the published model, and its gates.
@@ -28,6 +28,8 @@ MARGIN_A, MARGIN_B = 4.8771, 0.6364
 EPS = 1e-3
 TOP = 5
 STREAM_CAP = 64
+POSTCODE_CUTOFF, POSTCODE_NEAR = 0.75, 8
+LOCALITY_CUTOFF = 0.8
 POSTCODE_CAP, LOCALITY_CAP = 4000, 200
 SIM_GATE, STREET_PRESENT = 0.92, 0.6
 #: Order of lifecycle states; the first is best.
@@ -119,35 +121,75 @@ def evidence(queries: DataFrame, postcode_members: DataFrame | None = None, city
     return out
 
 
-def _candidates(combos: DataFrame, addresses: DataFrame, streets: DataFrame) -> DataFrame:
+def postcode_members(queries: DataFrame, postcodes: DataFrame) -> DataFrame:
+    """(name, codes): what each asked postcode stands for: itself if it exists, else up to eight that are written alike."""
+    near = close_members(queries.select(F.col("postcode").alias("token")), postcodes.select(F.col("postcode").alias("name")), POSTCODE_CUTOFF, POSTCODE_NEAR)
+    return staged(near.groupBy(F.col("token").alias("name")).agg(F.array_sort(F.collect_set("name")).alias("codes")), "resolve-postcodes")  # eight at most
+
+
+def locality_members(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(name, codes): the postcodes of each asked name, else of all names of ``gazetteer`` (name, codes) that are written alike."""
+    gazetteer = staged(gazetteer.select("name", "codes"), "resolve-gazetteer")
+    near = close_members(names.select(F.col("name").alias("token")), gazetteer.select("name"), LOCALITY_CUTOFF)
+    found = near.select("token", "name").join(gazetteer.select("name", "codes"), "name")
+    each = found.select(F.col("token").alias("name"), F.explode("codes").alias("code"))
+    return staged(each.groupBy("name").agg(F.array_sort(F.collect_set("code")).alias("codes")), "resolve-localities")
+
+
+def with_aliases(streets: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(entry, street_id, street, folded_street, alias_lifecycle): the streets and their earlier names (street_id, street, folded_street, lifecycle)."""
+    own = streets.select("street_id", "street", "folded_street", F.lit(None).cast("string").alias("alias_lifecycle"))
+    if aliases is not None:
+        own = own.unionByName(aliases.select("street_id", "street", "folded_street", F.col("lifecycle").alias("alias_lifecycle")))
+    return own.withColumn("entry", F.concat_ws("\x1f", F.col("street_id").cast("string"), "folded_street", F.col("alias_lifecycle").isNotNull().cast("string")))
+
+
+def _candidates(combos: DataFrame, addresses: DataFrame, lifecycles: tuple[str, ...]) -> DataFrame:
+    """Addresses at combinations of street and postcode. One that was found by an earlier name counts whatever its state."""
     # the size of the combinations is known once they are computed; adaptive execution picks the join then
-    rows = combos.select("qid", "street_id", "postcode", "sim").join(addresses, ["street_id", "postcode"])
-    return rows.join(streets, "street_id")
+    rows = combos.select("qid", "street_id", "postcode", "sim", "street", "folded_street", "alias_lifecycle").join(addresses, ["street_id", "postcode"])
+    return rows.filter(F.col("alias_lifecycle").isNotNull() | F.col("lifecycle").isin(*lifecycles)).drop("alias_lifecycle")
 
 
-def _by_postcode(wanted: DataFrame, addresses: DataFrame, streets: DataFrame, sims: DataFrame, cap: Column) -> DataFrame:
-    """Rows of the postcodes (qid, code, house_number) that queries source from, with their number if they have one."""
-    w = wanted.select("qid", "pinned", F.col("code").alias("postcode"), F.col("house_number").alias("q_number"), "q_street")
-    rows = w.join(addresses, "postcode").filter("q_number is null or house_number = q_number")
-    rows = rows.join(streets, "street_id")
-    sim = F.when(F.col("q_street").isNull(), 0.0).otherwise(similarity(trigrams(F.col("q_street")), trigrams(F.col("folded_street"))))
-    rows = rows.withColumn("sim", sim).withColumn("cap", cap)
+def _by_postcode(wanted: DataFrame, addresses: DataFrame, streets: DataFrame, cap: Column) -> DataFrame:
+    """Rows of the postcodes (qid, code, house_number, q_street) that queries source from, with their number if they have one, the most similar streets first.
+
+    A query with a number meets the addresses that have it. One without meets a postcode's streets first, and only the addresses of as
+    many streets as fill ``cap``; streets that tie with the last of these come along, for the addresses to settle.
+    """
+    w = wanted.select("qid", F.col("code").alias("postcode"), F.col("house_number").alias("q_number"), "q_street", cap.alias("cap"))
+    w = w.withColumn("q_grams", trigrams(F.col("q_street")))
+    named = streets.withColumn("s_grams", trigrams(F.col("folded_street")))
+    sim = F.when(F.col("q_street").isNull(), 0.0).otherwise(similarity(F.col("q_grams"), F.col("s_grams")))
+    numbered = w.filter("q_number is not null").join(addresses, (w["postcode"] == addresses["postcode"]) & (F.col("q_number") == F.col("house_number"))).drop(w["postcode"])
+    numbered = numbered.join(named, "street_id").withColumn("sim", sim)
+    held = addresses.groupBy(F.col("postcode").alias("at"), F.col("street_id").alias("on")).agg(F.count(F.lit(1)).alias("n"))
+    every = w.filter("q_number is null").join(held, F.col("postcode") == F.col("at"))
+    every = every.join(named.withColumnRenamed("street_id", "on"), "on").withColumn("sim", sim)
+    level = every.groupBy("qid", "sim").agg(F.sum("n").alias("level"))
+    above = F.coalesce(F.sum("level").over(Window.partitionBy("qid").orderBy(F.desc("sim")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = level.select(F.col("qid").alias("_qid"), F.col("sim").alias("_sim"), above.alias("above"))
+    near = every.join(level, (F.col("qid") == F.col("_qid")) & (F.col("sim") == F.col("_sim"))).filter("above < cap").drop("_qid", "_sim", "postcode")
+    bare = near.join(addresses, (F.col("at") == F.col("postcode")) & (F.col("on") == F.col("street_id")))
+    columns = ["qid", *addresses.columns, *[c for c in streets.columns if c != "street_id"], "sim", "cap"]
+    rows = numbered.select(*columns).unionByName(bare.select(*columns))
     order = Window.partitionBy("qid").orderBy(F.desc("sim"), "address_id")
-    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= F.col("cap")).drop("_n", "cap", "q_number", "q_street", "pinned")
+    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= F.col("cap")).drop("_n", "cap")
 
 
-def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge: DataFrame, params: Params = Params()) -> DataFrame:
+def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge: DataFrame, params: Params = Params(), aliases: DataFrame | None = None) -> DataFrame:
     """The first ``k`` address groups of each query, best first, with score and confidence.
 
     ``queries`` comes from :func:`evidence`. Stages: a probe by postcode and number answers alone if
     it holds ``k`` groups and a street similar enough; else streets similar to the query's, within
     its postcodes, widened past them if none is present there; else what the postcodes, or the locality of a
-    query without street and postcode, hold. Ties end at the smallest address id.
+    query without street and postcode, hold. ``aliases`` are earlier names (:func:`with_aliases`). Ties end at the smallest
+    address id.
     """
     k = params.k
-    addresses = addresses.filter(F.col("lifecycle").isin(*params.lifecycles))
-    names = staged(streets.select("street_id", "street", "folded_street"), "resolve-streets")
-    streets = small(names)
+    entries = staged(with_aliases(streets, aliases), "resolve-streets")
+    streets = small(entries.filter("alias_lifecycle is null").select("street_id", "street", "folded_street"))
+    served = addresses.filter(F.col("lifecycle").isin(*params.lifecycles))
     q = queries.withColumn("unit", F.col("floor").isNotNull() | F.col("door").isNotNull())
     q = q.withColumn("pinned", F.coalesce(F.size("postcode_codes") > 0, F.lit(False)))
     q = q.withColumn("local", F.array_union(F.coalesce("city_codes", F.array().cast("array<string>")), F.coalesce("sub_locality_codes", F.array().cast("array<string>"))))
@@ -157,9 +199,8 @@ def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge
     # what each query's postcodes, or else its locality, hold
     lone = F.col("street").isNull() & F.col("postcode").isNull()
     source = q.select("qid", "house_number", "pinned", F.col("street").alias("q_street"), F.explode(F.when(F.col("pinned"), F.col("postcode_codes")).when(lone, F.col("local"))).alias("code"))
-    bare = F.col("q_street").isNull() & F.col("q_number").isNull() & ~F.col("pinned")
-    cap = F.when(bare, LOCALITY_CAP).otherwise(POSTCODE_CAP)
-    held = _by_postcode(source, addresses, streets, q, cap)
+    cap = F.when(F.col("q_street").isNull() & F.col("house_number").isNull() & ~F.col("pinned"), LOCALITY_CAP).otherwise(POSTCODE_CAP)
+    held = _by_postcode(source, served, streets, cap)
 
     scored_probe = staged(_scored(held.join(q.select("qid", whole), "qid"), params), "resolve-probe")
     eligible = q.filter(F.col("street").isNotNull() & F.col("house_number").isNotNull() & ~F.col("unit") & F.col("pinned")).select("qid")
@@ -170,20 +211,24 @@ def resolve(queries: DataFrame, addresses: DataFrame, streets: DataFrame, bridge
         "resolve-gate",
     )
 
-    sims = similarities(q, names, "street", "street_id", "folded_street").select(F.col("query").alias("street"), F.col("id").alias("street_id"), "sim")
-    sims = staged(sims, "resolve-similarities")
-    streams = q.join(gate, "qid", "left_anti").select("qid", "street", "pinned", "postcode_codes").join(sims, "street")
+    sims = similarities(q, entries, "street", "entry", "folded_street").select(F.col("query").alias("asked"), F.col("id").alias("entry"), "sim")
+    sims = staged(sims.join(small(entries.withColumnRenamed("folded_street", "folded")), "entry").withColumnRenamed("folded", "folded_street"), "resolve-similarities")
+    found = ["street_id", "sim", "street", "folded_street", "alias_lifecycle"]
+    streams = q.join(gate, "qid", "left_anti").select("qid", F.col("street").alias("asked")).join(sims, "asked").select("qid", *found)
     pins = q.select("qid", F.when(F.col("pinned"), F.col("postcode_codes")).alias("postcodes"))
-    confined = street_combos(streams.select("qid", "street_id", "sim"), bridge, STREAM_CAP, pins)
-    first = staged(_candidates(confined, addresses, streets), "resolve-confined")
-    seen = first.groupBy("qid").agg(F.max("sim").alias("seen"))
-    absent = q.filter("pinned").select("qid").join(seen, "qid", "left").filter(F.coalesce("seen", F.lit(0.0)) < STREET_PRESENT).select("qid")
-    wide = _candidates(street_combos(streams.join(absent, "qid", "left_semi").select("qid", "street_id", "sim"), bridge, STREAM_CAP), addresses, streets)
-    stream = first.unionByName(wide).join(q.select("qid", "unit"), "qid")
-    access = ["qid", "street_id", "postcode", "house_number", "house_letter"]
-    stream = stream.filter("unit").unionByName(collapse_units(stream.filter("not unit"), access)).drop("unit")
 
-    pool = scored_probe.unionByName(staged(_scored(stream.join(q.select("qid", whole), "qid"), params), "resolve-stream"))
+    def streamed(combos: DataFrame, name: str) -> DataFrame:
+        """Scored addresses at combinations; a combination brings all of a street's addresses in a postcode, so units collapse within it."""
+        rows = _candidates(combos, addresses, params.lifecycles).join(small(q.select("qid", "unit")), "qid")
+        access = ["qid", "street_id", "folded_street", "postcode", "house_number", "house_letter"]
+        rows = rows.filter("unit").unionByName(collapse_units(rows.filter("not unit"), access)).drop("unit")
+        return staged(_scored(rows.join(small(q.select("qid", whole)), "qid"), params), name)
+
+    confined = streamed(street_combos(streams, bridge, STREAM_CAP, pins), "resolve-confined")
+    seen = confined.groupBy("qid").agg(F.max("sim").alias("seen"))
+    absent = q.filter("pinned").select("qid").join(seen, "qid", "left").filter(F.coalesce("seen", F.lit(0.0)) < STREET_PRESENT).select("qid")
+    wide = streamed(street_combos(streams.join(absent, "qid", "left_semi"), bridge, STREAM_CAP), "resolve-wide")
+    pool = scored_probe.unionByName(confined).unionByName(wide)
     return _confident(_top(pool, k, q.select("qid", whole)), params)
 
 
@@ -195,7 +240,7 @@ def _scored(rows: DataFrame, params: Params) -> DataFrame:
     r = F.struct("sim", "house_number", "house_letter", "floor", "door", "postcode")
     unit, e = F.col("q.unit"), lambda c: F.coalesce(c, F.lit(""))
     group = F.concat_ws(
-        "\x1f", F.col("street_id").cast("string"), e(F.col("house_number")), e(F.col("postcode")), e(F.col("house_letter")),
+        "\x1f", F.col("street_id").cast("string"), F.col("folded_street"), e(F.col("house_number")), e(F.col("postcode")), e(F.col("house_letter")),
         e(F.when(unit, F.col("floor"))), e(F.when(unit, F.col("door"))),
     )
     bare = ~unit & F.col("floor").isNull() & F.col("door").isNull()

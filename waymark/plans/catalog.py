@@ -1,6 +1,6 @@
 """All queries that are registered by the modules of this package."""
 
-from . import matching, registers  # noqa: F401
+from . import matching, registers, served  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import tagging
 from ..functions import text as X
 from ..operators import gazetteer, resolve
-from ..operators.knn import knn, similarities, street_combos
+from ..operators.knn import close_members, knn, similarities, street_combos
+from ..operators.sized import small
 from ..operators.synthesize import corpus
 from .registry import query, read
 
@@ -38,7 +39,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def addresses(spark: SparkSession, sf: str) -> DataFrame:
-    part = read(spark, sf, "part").join(F.broadcast(names(spark, sf).select(F.col("id").alias("street_id"), "name")), F.col("p_name") == F.col("name"))
+    part = read(spark, sf, "part").join(small(names(spark, sf).select(F.col("id").alias("street_id"), "name")), F.col("p_name") == F.col("name"))
     null = F.lit(None).cast("string")
     return part.select(
         F.col("p_partkey").cast("string").alias("address_id"), "street_id", F.substring("p_brand", 7, 9).alias("postcode"), F.col("p_size").cast("string").alias("house_number"),
@@ -130,21 +131,49 @@ def ta_threshold(spark, sf):
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """One query a supplier: a street name without the letter e, a number, some with a postcode or a floor."""
-    sup = read(spark, sf, "supplier").join(read(spark, sf, "part").select("p_partkey", "p_name"), F.col("s_suppkey") == F.col("p_partkey"))
-    null = F.lit(None).cast("string")
-    key = F.col("s_suppkey")
+    """One query a supplier, on all axes: a street name without the letter e, a number with or without a letter, floor and door, postcodes (some mistyped), cities (some mistyped)."""
+    li = read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.min("l_partkey").alias("l_partkey"))  # a part of each supplier
+    sup = read(spark, sf, "supplier").join(li, F.col("s_suppkey") == F.col("l_suppkey")).join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    null, key = F.lit(None).cast("string"), F.col("s_suppkey")
+    brand, city = F.substring("p_brand", 7, 9), F.lower("p_type")
     return sup.select(
-        F.col("s_suppkey").alias("qid"), F.replace("p_name", F.lit("e"), F.lit("")).alias("street"), F.when(key % 7 != 0, F.col("s_nationkey").cast("string")).alias("house_number"),
-        null.alias("house_letter"), F.when(key % 6 == 0, "1").alias("floor"), null.alias("door"), F.when(key % 3 == 0, (key % 25 + 1).cast("string")).alias("postcode"), null.alias("city"), null.alias("sub_locality"),
+        key.alias("qid"), F.when(key % 13 != 0, F.replace("p_name", F.lit("e"), F.lit(""))).alias("street"), F.when(key % 7 != 0, F.col("p_size").cast("string")).alias("house_number"),
+        F.when(key % 8 == 0, "b").alias("house_letter"), F.when(key % 6 == 0, "1").alias("floor"), F.when(key % 12 == 0, "tv").alias("door"),
+        F.when(key % 3 == 0, brand).when(key % 11 == 0, F.concat(brand, F.lit("0"))).alias("postcode"), F.when(key % 4 == 0, city).when(key % 4 == 1, F.replace(city, F.lit("a"), F.lit("o"))).alias("city"),
+        F.when(key % 9 == 0, city).otherwise(null).alias("sub_locality"),
     )
 
 
+def asked_in_full(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """The queries with the postcodes that their components stand for, as the gazetteers of ``rows`` have them."""
+    from ..operators.build import name_codes
+
+    q = components(spark, sf)
+    towns = resolve.locality_members(q.select(F.col("city").alias("name")).union(q.select("sub_locality")), name_codes(rows, "city", "postcode"))
+    return resolve.evidence(q, resolve.postcode_members(q, rows.select("postcode")), towns, towns)
+
+
 @query("resolve_batch")
 def resolve_batch(spark, sf):
     streets = names(spark, sf).select(F.col("id").alias("street_id"), F.col("name").alias("street"), F.col("folded").alias("folded_street"))
     rows = addresses(spark, sf)
-    return resolve.resolve(resolve.evidence(components(spark, sf)), rows, streets, rows.select("street_id", "postcode"))
+    # every fifth street had its name spelled backwards once
+    past = streets.filter("street_id % 5 = 0").select("street_id", F.reverse("street").alias("street"), F.reverse("folded_street").alias("folded_street"), F.lit("retired").alias("lifecycle"))
+    return resolve.resolve(asked_in_full(spark, sf, rows), rows, streets, rows.select("street_id", "postcode"), aliases=past)
+
+
+@query("postcode_members")
+def postcode_members(spark, sf):
+    q = components(spark, sf)
+    return resolve.postcode_members(q, addresses(spark, sf).select("postcode")).select("name", F.array_join("codes", ",").alias("codes"))
+
+
+@query("locality_members")
+def locality_members(spark, sf):
+    from ..operators.build import name_codes
+
+    q = components(spark, sf)
+    return resolve.locality_members(q.select(F.col("city").alias("name")), name_codes(addresses(spark, sf), "city", "postcode")).select("name", F.array_join("codes", ",").alias("codes"))
 
 
 @query(
@@ -181,7 +210,7 @@ def recovery_by_postcode(spark, sf):
     wanted = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("qid"), (F.col("s_suppkey") % 25 + 1).cast("string").alias("code"), F.lit(None).cast("string").alias("house_number"), F.lit(None).cast("string").alias("q_street"), F.lit(True).alias("pinned"))
     streets = names(spark, sf).select(F.col("id").alias("street_id"), F.col("name").alias("street"), F.col("folded").alias("folded_street"))
     current = addresses(spark, sf).filter("lifecycle = 'current'")
-    return resolve._by_postcode(wanted, current, F.broadcast(streets), wanted, F.lit(resolve.POSTCODE_CAP)).select("qid", "address_id")
+    return resolve._by_postcode(wanted, current, streets, F.lit(resolve.POSTCODE_CAP)).select("qid", "address_id")
 
 
 @query("unit_collapse", f"WITH {ADDR} SELECT address_id FROM addr a WHERE (floor IS NULL AND door IS NULL) OR NOT EXISTS (SELECT 1 FROM addr b WHERE b.street_id = a.street_id AND b.postcode = a.postcode AND b.house_number = a.house_number AND b.floor IS NULL AND b.door IS NULL)")
@@ -217,7 +246,7 @@ def normalize_documents(spark, sf):
 
 @query("normalize_urls")
 def normalize_urls(spark, sf):
-    return read(spark, sf, "pages").select("page_id", X.normalize_text(F.col("url")).alias("normalized"), X.url_decode_text(F.col("url")).alias("decoded"), X.repair_text(F.col("url")).alias("repaired"))
+    return read(spark, sf, "pages").select("page_id", X.normalize_text(F.col("url")).alias("normalized"), X.url_decode_text(F.col("url")).alias("decoded"), X.repair_text(F.col("url")).alias("repaired"), F.md5(X.normalize_text(F.col("html"))).alias("html_normalized"))
 
 
 @query("fold_text", "SELECT doc_id, strip_accents(replace(replace(replace(replace(replace(replace(text, 'æ', 'ae'), 'ø', 'oe'), 'å', 'aa'), 'Æ', 'Ae'), 'Ø', 'Oe'), 'Å', 'Aa')) AS folded FROM documents")
@@ -225,9 +254,9 @@ def fold_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.fold_text(F.col("text")).alias("folded"))
 
 
-@query("strip_recipient", "SELECT conv_id, turn, CASE WHEN len(list_filter(string_split(t, ','), lambda p: regexp_matches(p, '\\d') OR NOT regexp_matches(p, '\\bc/?o\\b|\\batt(?:n|ention)?\\b|\\bv/'))) > 0 THEN array_to_string(list_filter(string_split(t, ','), lambda p: regexp_matches(p, '\\d') OR NOT regexp_matches(p, '\\bc/?o\\b|\\batt(?:n|ention)?\\b|\\bv/')), ' ') ELSE t END AS kept FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'c/o x, ' ELSE '' END || regexp_replace(text, '[^\x00-\x7F]', 'e', 'g') AS t FROM conversations)")
+@query("strip_recipient", "SELECT conv_id, turn, CASE WHEN len(list_filter(string_split(t, ','), lambda p: regexp_matches(p, '\\d') OR NOT regexp_matches(p, '(^|[^\\pL\\pN_])(c/?o|att(n|ention)?)($|[^\\pL\\pN_])|(^|[^\\pL\\pN_])v/'))) > 0 THEN array_to_string(list_filter(string_split(t, ','), lambda p: regexp_matches(p, '\\d') OR NOT regexp_matches(p, '(^|[^\\pL\\pN_])(c/?o|att(n|ention)?)($|[^\\pL\\pN_])|(^|[^\\pL\\pN_])v/')), ' ') ELSE t END AS kept FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'c/o x, ' ELSE '' END || text AS t FROM conversations)")
 def strip_recipient(spark, sf):
-    text = F.concat(F.when(F.col("turn") % 2 == 0, "c/o x, ").otherwise(""), F.regexp_replace("text", r"[^\x00-\x7F]", "e"))
+    text = F.concat(F.when(F.col("turn") % 2 == 0, "c/o x, ").otherwise(""), F.col("text"))
     return read(spark, sf, "conversations").select("conv_id", "turn", X.strip_recipient_column(text).alias("kept"))
 
 
@@ -279,20 +308,24 @@ def component_map(spark, sf):
 
 @query("edit_cost")
 def edit_cost(spark, sf):
-    q, n = asked(spark, sf), names(spark, sf)
-    return q.join(F.broadcast(n), F.substring("query", 1, 1) == F.substring("folded", 1, 1)).select("query", "folded", X.edit_cost(F.col("query"), F.col("folded")).alias("cost"))
+    """The cost between each query and every name that is similar to it."""
+    n = names(spark, sf)
+    pairs = similarities(asked(spark, sf), n).join(small(n.select("id", "folded")), "id")
+    return pairs.select("query", "folded", X.edit_cost(F.col("query"), F.col("folded")).alias("cost"))
 
 
 @query("word_extent")
 def word_extent(spark, sf):
-    q, n = asked(spark, sf), names(spark, sf)
-    return q.join(F.broadcast(n), F.substring("query", 1, 1) == F.substring("folded", 1, 1)).select("query", "folded", F.round(X.best_extent(F.col("query"), F.col("folded")), 9).alias("extent"))
+    """The extent of each query in every name that is similar to it."""
+    n = names(spark, sf)
+    pairs = similarities(asked(spark, sf), n).join(small(n.select("id", "folded")), "id")
+    return pairs.select("query", "folded", F.round(X.best_extent(F.col("query"), F.col("folded")), 9).alias("extent"))
 
 
 @query("close_match_members")
 def close_match_members(spark, sf):
-    known = [r.folded for r in names(spark, sf).select("folded").orderBy("folded").collect()]
-    return asked(spark, sf).select("query", X.close_names(F.col("query"), known, 8, 0.75).alias("members"))
+    found = close_members(asked(spark, sf).select(F.col("query").alias("token")), names(spark, sf).select(F.col("folded").alias("name")), 0.75, 8)
+    return found.select(F.col("token").alias("query"), "name", F.round("ratio", 9).alias("ratio"), "rank")
 
 
 @query("char_vocabulary", "SELECT char, CAST(row_number() OVER (ORDER BY char) + 1 AS INTEGER) AS code FROM (SELECT DISTINCT unnest(string_split(p_name, '')) AS char FROM part) WHERE char <> ''")

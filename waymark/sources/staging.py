@@ -32,5 +32,7 @@ def folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the driver ends
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MANIFEST = "name string, contract string, seeded_at timestamp, tables map<string,bigint>"
 
@@ -50,8 +52,64 @@ def export_jsonl(rows: DataFrame, path: str, least: int) -> int:
     return n
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def table_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A staged table, or an empty one if it was never written."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def read_index(spark: SparkSession, root: str, contract: str, tables: list[str]) -> dict[str, DataFrame]:
+    """Several tables of one and the same generation, the newest of a contract."""
+    newest = generations(spark, root).filter(F.col("contract") == contract).orderBy(F.desc("seeded_at"), F.desc("name")).first()
+    if newest is None:
+        raise LookupError(f"no generation of contract {contract}")
+    return {t: spark.read.parquet(f"{root}/gen={newest.name}/{t}") for t in tables}
+
+
+def stamped(watermark: DataFrame | None, cursors: DataFrame) -> DataFrame:
+    """The watermark (entity, cursor, contract) with what ``cursors`` says now; entities that it does not name stay."""
+    if watermark is None:
+        return cursors.select("entity", "cursor", "contract")
+    kept = watermark.join(cursors.select("entity"), "entity", "left_anti")
+    return kept.select("entity", "cursor", "contract").unionByName(cursors.select("entity", "cursor", "contract"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines by a schema; a line that is not JSON stops the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+ADDRESS = "id string, street string, house_number string, house_letter string, floor string, door string, postcode string, city string, sub_locality string"
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Exported addresses, without those that have no street, number, postcode and city at all."""
+    rows = read_jsonl(spark, path, ADDRESS)
+    return rows.filter(" or ".join(f"coalesce({c}, '') <> ''" for c in ("street", "house_number", "postcode", "city")))
+
+
+def write_results(rows: DataFrame, facts: dict[str, object], path: str) -> None:
+    """Rows of a run as JSON lines, then one line that says what it was run on; the last is written when the rows are there."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    line = json.dumps(facts | {"rows": rows.sparkSession.read.text(f"{path}/rows").count()}, sort_keys=True, default=str)
+    rows.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def read_table(spark: SparkSession, url: str, table: str, fetch: int = 10_000, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A database table by JDBC, ``fetch`` rows a round trip; ``partition`` is (column, lowest, highest, readers)."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=str(fetch), **options)
+    if partition:
+        column, low, high, n = partition
+        reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(n))
+    return reader.load()
+
+
+def load_params(path: str, axes: tuple[str, ...]) -> tuple[dict[str, float], float, float]:
+    """(weights, margin a, margin b) of a JSON file; an axis or a margin that is missing, or a weight that is no number, is an error."""
+    with open(os.fspath(path), encoding="utf-8") as file:
+        found = json.load(file)
+    lacking = [a for a in axes if not isinstance(found.get("weights", {}).get(a), int | float)] + [m for m in ("margin_a", "margin_b") if not isinstance(found.get(m), int | float)]
+    if lacking:
+        raise ValueError(f"{path} lacks {', '.join(lacking)}")
+    return {a: float(found["weights"][a]) for a in axes}, float(found["margin_a"]), float(found["margin_b"])
