@@ -24,9 +24,9 @@ import pyarrow as pa
 from . import textnum
 
 #: Bytes that are cut up together, and the longest stretch of one text that is worked on at once if it may be cut.
-WINDOW = 2_000_000
+WINDOW = 4_000_000
 #: Stretches that are remembered, some 150 bytes each, and the longest that is.
-KNOWN, KNOWN_CHARS = 1_200_000, 50
+KNOWN, KNOWN_CHARS = 2_400_000, 50
 #: First bytes of characters beyond ASCII that are no white space, whatever follows.
 _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
@@ -106,7 +106,7 @@ class BatchEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a string column, one after another without special tokens added, and how many each has."""
         counts, ids = np.zeros(len(texts), dtype=np.int64), [np.empty(0, dtype=self.dtype)]
-        for row, data, offsets in textnum.blocks(texts):
+        for row, data, offsets in textnum.blocks(texts, WINDOW):
             for first, part, bounds in _windows(data, offsets, self._pairs):
                 found, each = self._window(part, bounds)
                 ids.append(found)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .scratch import table
 
 #: Rows of one Arrow batch that pass one yields.
-STORED_ROWS = 1000
+STORED_ROWS = 2000
 _encoders: dict = {}
 
 
