@@ -46,15 +46,27 @@ def test_zip_rows():
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w") as z:
             z.writestr(name, text)
-        return data.getvalue()
+        return io.BytesIO(data.getvalue())
 
     assert list(archives.zip_rows(packed("﻿a;b\n1;2,3\n"))) == [{"a": "1", "b": "2,3"}]
     assert list(archives.zip_rows(packed("a,b\n1,2\n"))) == [{"a": "1", "b": "2"}]
     assert list(archives.zip_rows(packed(""))) == []
+    assert list(archives.zip_rows(packed("a;b\n1;" + "x" * 200_000 + "\n")))[0]["b"] == "x" * 200_000
     with pytest.raises(ValueError):
         list(archives.zip_rows(packed("x", "a.txt")))
 
 
+def test_typed(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        z.writestr("f.csv", "id;shape;at;landsejerlavskode;when\n 7 ;POLYGON ((0 0, 1 0, 1 1, 0 0));POINT Z (3.50 4 1);12;2024-01-01T00:00:00+02:00\n8;;;;x\n")
+    rows = archives.scan(spark, str(tmp_path / "*.zip"))
+    assert archives.sniffed_headers(rows).select("polygon", "line", "point", "district_code").first() == ("shape", None, "at", "landsejerlavskode")
+    spec = {"id": (("nr", "id"), "text"), "area": ("polygon", "geojson"), "xy": ("point", "point"), "x": ("point", "x"), "code": ("district_code", "number"), "time": (("when",), "time")}
+    one, two = archives.typed(rows, spec).orderBy("line").collect()
+    assert (one.id, one.xy, one.x, one.code, one.time) == ("7", "3.50 4", 3.5, 12.0, "2023-12-31T22:00:00+00:00") and one.area.startswith('{"type":"Polygon"')
+    assert two.id == "8" and [two[c] for c in ("area", "xy", "x", "code", "time")] == [None] * 5
+
+
 def test_scan(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "f_7.zip", "w") as z:
         z.writestr("f.csv", "id;Navn\n1; x \n2;\n")

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry, tagging
 from waymark.functions import text as X
 from waymark.operators import resolve, synthesize
+from waymark.operators.knn import close_members
 
 
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("%25C3%25B8stergade", "oestergade"), ("vester+gade", "vester gade"), ("Ã¸stergade", "oestergade"), ("Østerbro 5, c/o Hans Jensen", "oesterbro 5"),
-        ("Algade 5 att Hans, 9800", "algade 5 att hans 9800"), ("Vester-gade  5 .", "vester gade 5"), ("Vestre Strandvej 030, 5450 Otterup", "vestre strandvej 30 5450 otterup"),
-        ("100% sikker", "100% sikker"), ("", ""),
+        ("K%25C3%25A6rh%25C3%25B8jen", "kaerhoejen"), ("birke+all%C3%A9", "birke alle"), ("KÃ¦rhÃ¸jen", "kaerhoejen"), ("Birkely 12, att Lone Lund", "birkely 12"),
+        ("Birkely 12 c/o Lone, 4030", "birkely 12 c o lone 4030"), ("Nord/Syd.vej  9 -", "nord syd vej 9"), ("Engen 007, 0999 Sted", "engen 7 999 sted"), ("50% af 2+2", "50% af 2 2"), ("att alene", "att alene"), ("", ""),
     ],
 )
 def test_normalize(raw, want):
@@ -43,10 +43,35 @@ def test_word_similarity():
     assert X.word_similarity("", "x") == 0
 
 
-def test_close_names(spark):
-    df = spark.createDataFrame([("skjern",), ("koebenhaven k",), ("koebenhavn",), (None,)], "t string")
-    got = {r.t: r.m for r in df.select("t", X.close_names(F.col("t"), ["skjern", "koebenhavn k", "koebenhavn s", "koebenhavn v"], 10, 0.8).alias("m")).collect()}
-    assert got["skjern"] == ["skjern"] and got["koebenhaven k"][0] == "koebenhavn k" and len(got["koebenhavn"]) == 3 and got[None] is None
+def test_text_repairs():
+    assert X.url_decode("%41%2542+c%") == "ABC"[:2] + " c%" and X.url_decode("a%C3b%A9") == "a\ufffdb\ufffd"
+    assert X.repair_mojibake("blÃ¥bÃ¦r") == "blåbær" and X.repair_mojibake("blå") == "blå" and X.repair_mojibake("日Ã¥") == "日Ã¥"
+    assert X.fold("Ærø Ålborg é ñ ü ﬁ") == "Aeroe Aalborg e n u fi"
+
+
+def test_close_members_equal_difflib(spark):
+    import difflib
+
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(1, 9))) for _ in range(150)})
+    tokens = [n[: rng.randint(0, len(n))] + rng.choice("abcxyz") + n[rng.randint(0, len(n)) :] for n in names for _ in range(2)] + names[:5] + [""]
+    t, n = (spark.createDataFrame([(x,) for x in sorted(set(v))], f"{c} string") for v, c in ((tokens, "token"), (names, "name")))
+    for cutoff, most in ((0.75, 8), (0.8, None)):
+        got = {}
+        for r in close_members(t, n, cutoff, most).collect():
+            got.setdefault(r.token, []).append((r["rank"], r.name))
+        for token in set(tokens):
+            want = [token] if token in names else difflib.get_close_matches(token, names, n=most or len(names), cutoff=cutoff)
+            assert [x for _, x in sorted(got.get(token, []))] == want
+
+
+def test_shapes():
+    square = lambda x, y: [[[x, y], [x + 1, y], [x + 1, y + 1], [x, y + 1], [x, y]]]
+    ring = [square(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
+    (one,) = geometry.united(ring)
+    assert len(one) == 2 and geometry._area(one[0]) == 9 and geometry._area(one[1]) == 1
+    assert len(geometry.united([square(0, 0), square(5, 0)])) == 2
+    assert geometry.simplified([[0, 0], [1, 0.01], [2, 0], [3, 5]], 0.1) == [[0, 0], [2, 0], [3, 5]]
 
 
 @pytest.mark.parametrize(

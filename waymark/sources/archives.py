@@ -98,7 +98,8 @@ def typed(rows: DataFrame, spec: dict[str, tuple[tuple[str, ...] | str, str]], r
 
     sniffs = {h for h, _ in spec.values() if isinstance(h, str)}
     if sniffs:
-        rows = rows.join(sniffed_headers(rows, row), "path", "left")  # one row a file
+        found = sniffed_headers(rows, row)
+        rows = rows.join(found.select("path", *[F.col(c).alias(f"sniffed_{c}") for c in found.columns if c != "path"]), "path", "left")  # one row a file
 
     def shaped_as(raw: Column, kind: str) -> Column:
         if kind in ("x", "y", "point"):
@@ -108,7 +109,7 @@ def typed(rows: DataFrame, spec: dict[str, tuple[tuple[str, ...] | str, str]], r
 
     out = []
     for name, (headers, kind) in spec.items():
-        raw = F.element_at(row, F.col(headers)) if isinstance(headers, str) else F.coalesce(*[F.element_at(row, h) for h in headers])
+        raw = F.element_at(row, F.col(f"sniffed_{headers}")) if isinstance(headers, str) else F.coalesce(*[F.element_at(row, h) for h in headers])
         out.append(shaped_as(raw, kind).alias(name))
     return rows.select("path", "line", *out)
 
