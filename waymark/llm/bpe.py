@@ -24,9 +24,9 @@ import pyarrow as pa
 from . import textnum
 
 #: Bytes that are cut up together, and the longest stretch of one text that is worked on at once if it may be cut.
-WINDOW = 4_000_000
+WINDOW = 2_000_000
 #: Stretches that are remembered, some 150 bytes each, and the longest that is.
-KNOWN, KNOWN_CHARS = 2_400_000, 50
+KNOWN, KNOWN_CHARS = 500_000, 50
 #: First bytes of characters beyond ASCII that are no white space, whatever follows.
 _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True

@@ -55,7 +55,7 @@ ADDERS, FAN_IN = 8, 64
 #: Bits of a set's signature, in words of 64.
 SIGNATURE = 512
 #: Prefix entries that one partition sorts in memory.
-ENTRIES_PER_PARTITION = 1_000_000
+ENTRIES_PER_PARTITION = 500_000
 FRAGMENTS = 4
 #: Pairs of one set that are compared in one group of rows.
 HUB_PAIRS = 256
@@ -116,7 +116,7 @@ def count_of(logs: np.ndarray) -> np.ndarray:
 
 def frequency_sketch(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, int]:
     """Logarithmic counts of n-grams by the first ``SKETCH_BITS`` bits of their hash, 8 MB whatever the input, and how many there are."""
-    each = docs.select(text_col).mapInArrow(_count(size), "part int, block int, counts binary")
+    each = docs.select(text_col).mapInArrow(textnum.tidy(_count(size)), "part int, block int, counts binary")
     parts = docs.rdd.getNumPartitions()
     while parts > FAN_IN:  # a tree, so that no task meets more than FAN_IN sketches of a block
         parts = -(-parts // FAN_IN)
@@ -289,11 +289,11 @@ class JaccardJoin:
         more = [T.StructField("tid", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))]
         # a number of each row: copies, and rows that share an id, spread over the parts of a list
         placed = self.docs.select("id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("spread"), F.xxhash64("text").alias("tid"))
-        entries = placed.mapInArrow(_entries(size, percent, self.sketch), T.StructType([id_field, *columns, *more]))
+        entries = placed.mapInArrow(textnum.tidy(_entries(size, percent, self.sketch)), T.StructType([id_field, *columns, *more]))
         default = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         wanted = total * (100 - percent) // 100 // ENTRIES_PER_PARTITION + 1
         stars = T.StructType([T.StructField("kind", T.IntegerType()), id_field, *columns, T.StructField("sid2", T.LongType()), T.StructField("n2", T.IntegerType()), *more])
-        self.lists = table(entries.repartition(max(default, wanted), "key", "part").mapInArrow(_stars(percent), stars), "jaccard-lists", scope)
+        self.lists = table(entries.repartition(max(default, wanted), "key", "part").mapInArrow(textnum.tidy(_stars(percent)), stars), "jaccard-lists", scope)
         self.rows = self.lists.filter("kind = 0").select("id", "tid", "sid", "n")
         worded = self.lists.filter("kind = 0 and n > 0")
         self.sets = table(worded.groupBy("sid", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig")), "jaccard-sets", scope)
@@ -322,7 +322,7 @@ class JaccardJoin:
         few = ids.count() <= BROADCAST_IDS
         # texts that share an id with one that is asked for come along, and are dropped when sets are joined
         texts = self.docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep_id")), "left_semi").select("text")
-        segments = table(texts.mapInArrow(_segments(self.size, self.sketch, self.bounds), "sid long, n int, fragment int, grams array<long>"), "jaccard-segments", self.scope)
+        segments = table(texts.mapInArrow(textnum.tidy(_segments(self.size, self.sketch, self.bounds)), "sid long, n int, fragment int, grams array<long>"), "jaccard-segments", self.scope)
         # the set with more pairs is side a, so that fewer sets travel to it
         degree = pairs.select(F.col("sid_a").alias("sid"), F.col("n_a").alias("n")).union(pairs.select("sid_b", "n_b")).groupBy("sid", "n").count()
         ranked = pairs

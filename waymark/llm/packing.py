@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textnum
 from .scratch import table
 
 #: Rows of one Arrow batch that pass one yields.
-STORED_ROWS = 2000
+STORED_ROWS = 1000
 _encoders: dict = {}
 
 
@@ -108,7 +109,7 @@ def pack(
     kind = docs.schema[id_col].dataType
     stored = table(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-            _tokenize(tokenizer_path, end_id),
+            textnum.tidy(_tokenize(tokenizer_path, end_id)),
             T.StructType([T.StructField("id", kind)]).add("part", T.IntegerType()).add("before", T.LongType()).add("tokens", T.LongType()).add("ids", T.BinaryType()),
         ),
         "pack-ids",
@@ -124,7 +125,7 @@ def pack(
         schema = schema.add(name, T.LongType())
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return placed.mapInArrow(_rename(_cut(window, _encoder(tokenizer_path).dtype.itemsize, with_ids), id_col), schema)
+    return placed.mapInArrow(textnum.tidy(_rename(_cut(window, _encoder(tokenizer_path).dtype.itemsize, with_ids), id_col)), schema)
 
 
 def _rename(run, id_col: str):

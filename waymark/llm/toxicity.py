@@ -266,7 +266,7 @@ def _logistic(text: np.ndarray, entry: np.ndarray, entries: int, dense: np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 100_000, seed: int = 0, scope: str = "") -> Classifier:
     """From ``docs`` (id, text) and ``labels`` (id, label 0/1)."""
-    features = labelled_sample(docs, labels, per_label, max_chars, seed).mapInArrow(_sample_features, "label long, weight double, keys binary, counts binary, style binary")
+    features = labelled_sample(docs, labels, per_label, max_chars, seed).mapInArrow(textnum.tidy(_sample_features), "label long, weight double, keys binary, counts binary, style binary")
     once = features.groupBy("keys").agg(F.max(F.struct("label", "weight", "counts", "style")).alias("of"))  # copies count once
     known = table(once.select("keys", "of.*"), "toxicity-features", scope)
     is_toxic = F.col("label") == 1
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     """(id, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(_scores(shared, 1), schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(textnum.tidy(_scores(shared, 1)), schema)
 
 
 def train_labels(labels: DataFrame, label_col: str, id_col: str, folds: int, fold: int) -> DataFrame:
@@ -347,4 +347,4 @@ def keep_clean(docs: DataFrame, model: Classifier, text_col: str = "text") -> Da
                 clean[at : at + len(offsets) - 1] = shared.value.score(data, offsets) < 0.5
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textnum.tidy(run), docs.schema)
