@@ -43,3 +43,48 @@ def test_stages_and_run(spark, sf, tmp_path):
     whole = {r.doc_id: r.text for r in rows[3]}
     some = next(r for r in out if r.length == r.doc_tokens and sum(x.doc_id == r.doc_id for x in rows[3]) == 1)
     assert zlib.crc32(np.array([*known.encode(whole[some.doc_id], add_special_tokens=False).ids, 1], dtype="<u4").tobytes()) == some.ids_crc32
+
+
+def tables(spark, rows, at):
+    """A folder with the given documents, and labels of none of them."""
+    spark.createDataFrame(rows, helpers.DOCS).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(10**6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_hard_rows_through_every_stage(spark, tmp_path, monkeypatch):
+    hard = helpers.hard_cases()
+    at = tables(spark, hard, tmp_path / "in")
+    # labels of one kind only: the classifier says the same of every text
+    monkeypatch.setattr(corpus_pipeline.toxicity, "train_labels", lambda *a: spark.createDataFrame([(3, 0)], "id long, label long"))
+    docs, out = queries.read(spark, at, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name.replace(" ", "-"))
+        stage(spark, docs, at).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out[name] = docs.collect()
+        assert name == "packing" or docs.columns == [c.split()[0] for c in helpers.DOCS.split(", ")]
+    assert len(out["toxicity"]) == len(hard)
+    latest = helpers.keep_latest([(r[0], r[1]) for r in hard])
+    assert sorted(((r.doc_id, (r.text or "").translate(helpers.LOWER)) for r in out["exact dedup"]), key=repr) == sorted(((i, t) for t, i in latest.items()), key=repr)
+    groups, sets = {}, []
+    for r, (_, n, root) in zip(out["exact dedup"], helpers.components([(r.doc_id, r.text) for r in out["exact dedup"]]), strict=True):
+        key = (root, None if root is not None else r.text) if n else ("wordless", r.doc_id, r.text)
+        groups.setdefault(key, []).append((r.doc_id, r.text))
+        sets.append(key)
+    left = [(r.doc_id, r.text) for r in out["near dedup"]]
+    assert len(left) == len(groups) and all(sum(x in rows for x in left) == 1 for rows in groups.values())
+    sizes, taken = {}, {}
+    for rows, total in ((out["near dedup"], sizes), (out["mixing"], taken)):
+        for r in rows:
+            total[r.source] = total.get(r.source, 0) + len(helpers.words(r.text))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    _, target = helpers.mix([(k, "w " * sizes[s], s) for k, s in enumerate(order)])
+    assert {s: taken.get(s, 0) for s in order} == {s: int(target[s]) for s in order}
+    known = library()
+    assert sum(r.length for r in out["packing"]) == sum(len(known.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in out["mixing"])
+
+
+def test_no_rows_through_every_stage(spark, tmp_path):
+    at = tables(spark, [], tmp_path)
+    assert corpus_pipeline.run(spark, at).collect() == []

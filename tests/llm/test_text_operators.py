@@ -321,6 +321,13 @@ def test_preference_cases(spark):
     assert preference.format_pairs(preference.reply_pairs(none)).count() == 0
     odd = spark.createDataFrame([(1, 0, None, None), (1, None, "assistant", "x"), (1, 0, "user", "q"), (2, 0, "user", "only")], none.schema)
     assert {r.pair_id for r in preference.format_pairs(preference.reply_pairs(odd)).collect()} == {1, 2}
+    # columns that bear the names of inner ones, repeated turns, and a very long turn
+    long = "word " * 200_000
+    clash = spark.createDataFrame([(1, 0, "user", long, 9, "z", 0), (1, 1, "assistant", "b", 8, "y", 1), (1, 1, "assistant", "b", 7, "x", 2)], "conv_id long, turn long, role string, text string, pair_id int, turns string, first int")
+    (r,) = preference.format_pairs(preference.reply_pairs(clash)).collect()
+    assert r.pair_id == 1 and r.prompt == f"<|user|>\n{long}<|end|>\n" + 2 * "<|assistant|>\nb<|end|>\n" and r.chosen == r.rejected == ""
+    wide = spark.createDataFrame([(1, [("user", "a")], [("user", "b")], "x", 3)], f"pair_id long, chosen {turn}, rejected {turn}, c string, prompt_turns int")
+    assert preference.format_pairs(wide).first().prompt_turns == 0
 
 
 def test_word_hashes():

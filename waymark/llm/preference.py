@@ -9,7 +9,7 @@ A turn is rendered as ``<|role|>``, a line feed, its text, ``<|end|>`` and a lin
 
 Cases: null role or text renders as empty and equals another null only as what it renders to; equal conversations
 have empty completions and no spans; a conversation without turns is empty; turns with equal
-numbers are ordered by role and text; rows with a null conversation id are one conversation; an
+numbers are ordered by role and text, and repeated rows are turns of their own; texts of any length are rendered whole; rows with a null conversation id are one conversation; an
 empty table gives an empty result; other columns are not read. All turns of one conversation
 are gathered in one row, since that row holds them in the result as well.
 """

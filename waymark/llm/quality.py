@@ -9,7 +9,7 @@ Statistics are computed over whole texts, in one pass over their bytes. Fitting
 their label's sampling share.
 
 Cases: null text counts as empty, whose statistics are all 0; null ids are held out; repeated rows get
-equal scores; without labels of both kinds every score is the share of label 1 (0.5 if there
+equal scores; very long texts are scored whole, but not fitted on; without labels of both kinds every score is the share of label 1 (0.5 if there
 are none); an empty table gives an empty result; other columns are not read.
 """
 
