@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio, trigrams
+from ..sources.staging import staged
 from .sized import ROWS, is_small, small
 
 #: Similarities below this are not kept; the bound belongs to what is kept.
@@ -49,15 +50,26 @@ def street_combos(sims: DataFrame, bridge: DataFrame, cap: int, pins: DataFrame
     ``sims`` has (qid, street_id, sim), perhaps ``alias_lifecycle``, null for a street's own name, which comes before earlier ones; ``pins``
     (qid, postcodes) confines a query to postcodes: a null array pins nothing, an unknown postcode leaves nothing.
     """
-    combos = sims.join(bridge.select("street_id", "postcode").distinct(), "street_id")
-    if pins is not None:
-        combos = combos.join(pins, "qid", "left").filter(F.coalesce(F.array_contains("postcodes", F.col("postcode")), F.lit(True))).drop("postcodes")
     order = [F.desc("sim"), "street_id"]
     if "alias_lifecycle" in sims.columns:
         order.append(F.col("alias_lifecycle").isNotNull())
     if "folded_street" in sims.columns:
         order.append("folded_street")
-    return ranked(combos, cap, [*order, "postcode"], ["qid"])
+    # a street's postcodes come one after the other, so streets are counted off first and only those that the cap reaches are spread out
+    held = bridge.select("street_id", "postcode").groupBy("street_id").agg(F.sort_array(F.collect_set(F.struct("postcode"))).alias("held"))
+    held = small(staged(held, "combos-held"))
+    rows, size = sims.join(held, "street_id"), F.size("held")
+    own = F.lit(None).cast(held.schema["held"].dataType)
+    if pins is not None:
+        rows = rows.join(pins, "qid", "left")
+        within = F.filter("held", lambda p: F.coalesce(F.array_contains("postcodes", p["postcode"]), F.lit(True)))
+        own, size = F.when(F.col("postcodes").isNotNull(), within), F.when(F.col("postcodes").isNotNull(), F.size(within)).otherwise(F.size("held"))
+    rows = rows.select(*sims.columns, own.alias("own"), size.alias("size"))
+    before = Window.partitionBy("qid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("above", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).filter((F.col("above") < cap) & (F.col("size") > 0))
+    reached = F.slice(F.coalesce("own", "held"), F.lit(1), F.lit(cap) - F.col("above"))
+    rows = rows.join(held, "street_id").select(*sims.columns, "above", F.posexplode(reached).alias("at", "combo"))
+    return rows.select(*sims.columns, F.col("combo.postcode").alias("postcode"), (F.col("above") + F.col("at") + 1).alias("rank"))
 
 
 def close_members(tokens: DataFrame, names: DataFrame, cutoff: float, n: int | None = None) -> DataFrame:
