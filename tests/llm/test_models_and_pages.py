@@ -1,11 +1,13 @@
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm import language, quality, queries, toxicity, warc
+from waymark.llm.scratch import SMALL_READS
 
 from . import helpers
 
@@ -155,6 +157,41 @@ def test_toxicity_scores_every_row_like_a_plain_scorer(spark, sf):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_toxicity_keeps_what_executors_hold_small(spark, sf):
+    """No plan sorts, aggregates or shuffles the hashes of the sample, and texts are read in small batches."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = {store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())}
+    seen, score = [], toxicity.score
+
+    def scored(*args):
+        seen.append({name: spark.conf.get(name) for name in SMALL_READS})
+        return score(*args)
+
+    toxicity.score = scored
+    try:
+        before = {name: spark.conf.get(name, None) for name in SMALL_READS}
+        queries.op1_toxicity(spark, sf).count()
+    finally:
+        toxicity.score = score
+    assert seen == [{name: str(most) for name, most in SMALL_READS.items()}] and before == {name: spark.conf.get(name, None) for name in SMALL_READS}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executions = [store.executionsList().apply(k) for k in range(store.executionsList().size())]
+    plans = [x.physicalPlanDescription() for x in executions if x.executionId() not in ran]
+    assert any("keys#" in plan for plan in plans)
+    for node in (node for plan in plans for node in plan.split("\n\n")):
+        assert "keys#" not in node or not re.match(r"\s*\(\d+\) (Exchange|Sort|\w*Aggregate)\b", node), node
+
+
+def test_toxicity_counts_copies_once(spark):
+    rows = [(i, f"text {letters(i)} {'skunk stoat' if i % 3 == 0 else 'calm'}", int(i % 3 == 0)) for i in range(900)]
+    again = [(1000 + k, t, toxic) for k, (_, t, toxic) in enumerate(rows[:300] * 3)]
+    mixed = [(5000, "Text, jjj calm", 1), (5001, "text jjj calm calm", 0), (5002, "text jjj calm", 0)]  # equal words, or as many as that
+    one = spark.createDataFrame([*rows, mixed[0]], "id long, text string, label long")
+    many = spark.createDataFrame([*again, *mixed[::2], *rows], "id long, text string, label long").repartition(7)
+    first, other = (toxicity.fit(d.select("id", "text"), d.select("id", "label"), 10**6) for d in (one, many))
+    assert first.entries.tolist() == other.entries.tolist() and np.allclose(first.weights, other.weights) and first.bias == pytest.approx(other.bias)
+
+
 def test_languages_of_rows_that_share_an_id(spark):
     rng = np.random.default_rng(8)
     vocabulary = {"de": ["und", "nicht", "haus", "strasse", "wir", "gehen"], "en": ["and", "not", "house", "street", "we", "walk"]}

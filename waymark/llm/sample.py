@@ -41,7 +41,7 @@ def bounded(rows: DataFrame, per_label: int, seed: int) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int, seed: int = 0) -> DataFrame:
-    """(text, label, weight) of about ``per_label`` rows of each label, drawn by a hash of the id.
+    """(id, text, label, weight) of about ``per_label`` rows of each label, drawn by a hash of the id.
 
     ``weight`` is 1 over the label's sampling share, so weighted rows have the ratio of the labels
     that all rows have, whatever their number.
@@ -54,7 +54,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_char
     picked = drawn(labels, shares(counted(labels), per_label), random_key(F.col("id"), seed), F.lit(1.0))
     # about per_label rows of each label, by construction
     rows = docs.join(F.broadcast(picked), "id")
-    return bounded(rows, per_label, seed).filter(F.char_length("text") <= max_chars).select("text", "label", "weight")
+    return bounded(rows, per_label, seed).filter(F.char_length("text") <= max_chars).select("id", "text", "label", "weight")
 
 
 def labelled_rows(rows: DataFrame, per_label: int, max_chars: int, seed: int = 0) -> DataFrame:

@@ -10,13 +10,19 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
 _released: dict[str, list[str]] = {}
 _local_root: str | None = None
+_small_reads = threading.Lock()
+#: Rows of a batch, bytes of a buffer, and rows that go to Python at once, when tables are read sparingly.
+SMALL_READS = {"spark.sql.parquet.columnarReaderBatchSize": 256, "parquet.read.allocation.size": 1 << 18, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +50,26 @@ def table(df: DataFrame, name: str, scope: str = "") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """What runs in this block reads Parquet, and hands it to Python, in small batches; afterwards the settings are as before.
+
+    Batches of long texts are arrays of many MB. A stage that only reads and filters makes them faster than they are
+    collected, and the heap grows for them and never shrinks. Rows are the same; other queries of the session that
+    begin meanwhile read so as well.
+    """
+    with _small_reads:
+        before = {name: spark.conf.get(name, None) for name in SMALL_READS}
+        try:
+            for name, most in SMALL_READS.items():
+                if not 0 < int(before[name] or 0) < most:
+                    spark.conf.set(name, most)
+            yield
+        finally:
+            for name, value in before.items():
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def new_path(spark: SparkSession, name: str, scope: str = "") -> str:
     """A new place in the shared folder, deleted by :func:`release` or else when the driver ends."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

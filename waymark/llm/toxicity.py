@@ -8,7 +8,8 @@ and patterns is then trained on the model's posterior labels. Scoring reads whol
 
 Fitting uses a sample of at most about ``2 * per_label`` labelled texts of ``max_chars`` characters at
 most (parameters), weighed by 1 over their label's sampling share; scoring covers every row. Executors hash the sample and count what its texts reach; the
-driver gets the mined entries, then which of them each text has.
+driver gets digests of the sample's texts, of which it picks one of each group with equal words, then the mined entries, then which of them each text has.
+Hashes and counts of a text are written and read, but never sorted or shuffled, and texts are read in small batches: an executor's heap keeps the size that it once grew to.
 
 Cases: null text counts as empty and an empty text gets the score of a text without any hit; null ids
 are held out; repeated rows get the same score; an id with several labels has the largest; very long texts are
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import textnum
 from .sample import held_out, labelled_sample
-from .scratch import table
+from .scratch import small_reads, table
 
 #: Word beginnings of so many bytes are lexicon candidates, besides whole words.
 STEMS = (4, 5, 6)
@@ -90,12 +91,25 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             keys = [k.tobytes() for k, _ in found]
             counts = [np.minimum(n, 255).astype(np.uint8).tobytes() for _, n in found]
             style = [x.tobytes() for x in patterns(data, offsets)]
+            name = [hashlib.md5(k).digest() for k in keys]
+            rank = [hashlib.md5(c + x).digest() for c, x in zip(counts, style, strict=True)]
             yield pa.record_batch(
-                [labels.slice(at, m), weights.slice(at, m), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(style, pa.binary())],
-                names=["label", "weight", "keys", "counts", "style"],
+                [labels.slice(at, m), weights.slice(at, m), *(pa.array(x, pa.binary()) for x in (name, rank, keys, counts, style))],
+                names=["label", "weight", "name", "rank", "keys", "counts", "style"],
             )
 
 
+def _once(features: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with equal words the one of largest label, weight and ``rank``: its row, whether it is toxic, what it weighs."""
+    best: dict[bytes, tuple] = {}
+    # as many rows as the sample has, of some 60 bytes
+    for r in features.select("name", "label", "weight", "rank", "row").collect():
+        name, of = bytes(r["name"]), (r["label"], r["weight"], bytes(r["rank"]), r["row"])
+        best[name] = max(best.get(name, of), of)
+    of = [best[name] for name in sorted(best)]
+    return np.array([o[3] for o in of], dtype=np.int64), np.array([o[0] == 1 for o in of], dtype=bool), np.array([o[1] for o in of], dtype=np.float64)
+
+
 @dataclass
 class LabelModel:
     """Class-conditional behaviour of voters that say 1, -1 or nothing (0)."""
@@ -179,20 +193,26 @@ def _reached(keys: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([t for t, _ in at]), np.concatenate([c for _, c in at])
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose number, in the last column, is one of ``kept``."""
     for batch in batches:
+        batch = batch.filter(pa.array(np.isin(batch.column(batch.num_columns - 1).to_numpy(), kept)))
         for at in range(0, batch.num_rows, SLICE):
             yield batch.slice(at, SLICE)
 
 
-def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, keys, counts) to (code, texts, toxic texts)."""
-    for batch in _slices(batches):
-        text, code = _reached(batch.column(1), batch.column(2))
-        toxic = (batch.column(0).to_numpy() == 1)[text]
-        known, which = np.unique(code, return_inverse=True)
-        n, pos = np.bincount(which, minlength=len(known)), np.bincount(which, toxic, minlength=len(known)).astype(np.int64)
-        yield pa.record_batch([pa.array(known), pa.array(n), pa.array(pos)], names=["code", "n", "pos"])
+def _count_codes(kept: np.ndarray):
+    """(label, keys, counts, row) to (code, texts, toxic texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, kept):
+            text, code = _reached(batch.column(1), batch.column(2))
+            toxic = (batch.column(0).to_numpy() == 1)[text]
+            known, which = np.unique(code, return_inverse=True)
+            n, pos = np.bincount(which, minlength=len(known)), np.bincount(which, toxic, minlength=len(known)).astype(np.int64)
+            yield pa.record_batch([pa.array(known), pa.array(n), pa.array(pos)], names=["code", "n", "pos"])
+
+    return run
 
 
 def _log_tail(n: np.ndarray, pos: np.ndarray, p: float, ratio: float) -> np.ndarray:
@@ -207,7 +227,7 @@ def _log_tail(n: np.ndarray, pos: np.ndarray, p: float, ratio: float) -> np.ndar
     return np.where((q > p) & (all_q >= min(0.9, 3 * all_p + 0.3)), tail, 0)
 
 
-def _mine(rows: DataFrame, p: float, ratio: float) -> np.ndarray:
+def _mine(rows: DataFrame, kept: np.ndarray, p: float, ratio: float) -> np.ndarray:
     """Codes found in toxic texts more often than chance at the share ``p`` of toxic texts allows."""
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,29 +235,28 @@ def _mine(rows: DataFrame, p: float, ratio: float) -> np.ndarray:
             code, n, pos = (c.to_numpy() for c in batch.columns)
             yield pa.record_batch([batch.column(0), pa.array(_log_tail(n, pos, p, ratio))], names=["code", "log_tail"])
 
-    counts = rows.select("label", "keys", "counts").mapInArrow(_count_codes, "code long, n long, pos long")
+    counts = rows.select("label", "keys", "counts", "row").mapInArrow(_count_codes(kept), "code long, n long, pos long")
     # hash 0 stands for words shorter than the beginning
     summed = counts.filter(F.col("code") >= len(LEVELS)).groupBy("code").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     good = summed.mapInArrow(tails, "code long, log_tail double").filter(F.col("log_tail") <= LOG_CHANCE)
     return np.sort(np.array([r.code for r in good.orderBy("log_tail", "code").limit(MAX_ENTRIES).collect()], dtype=np.int64))
 
 
-def _find_hits(codes: np.ndarray):
-    """(keys, label, counts, style, weight) to what the driver fits on: which ``codes`` a text has, and whether it has a listed word."""
+def _find_hits(codes: np.ndarray, kept: np.ndarray):
+    """(name, label, weight, keys, counts, style, row) to what the driver fits on: which ``codes`` a text has, and whether it has a listed word."""
     fixed = fixed_entries()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            keys, m = batch.column(0).to_pylist(), batch.num_rows
-            text, code = _reached(batch.column(0), batch.column(2))
+        for batch in _slices(batches, kept):
+            keys, m = batch.column(3).to_pylist(), batch.num_rows
+            text, code = _reached(batch.column(3), batch.column(4))
             at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
             real = codes[at] == code if len(codes) else np.zeros(len(code), dtype=bool)
             text, at = text[real], at[real].astype(np.int32)
             hits = [at[text == d].tobytes() for d in range(m)]
             listed = [bool(np.isin(fixed, np.frombuffer(k, dtype=np.uint32)).any()) for k in keys]
-            name = [hashlib.md5(k).digest() for k in keys]
             yield pa.record_batch(
-                [pa.array(name, pa.binary()), batch.column(1), batch.column(4), pa.array(hits, pa.binary()), pa.array(listed), batch.column(3)],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(hits, pa.binary()), pa.array(listed), batch.column(5)],
                 names=["name", "label", "weight", "hits", "listed", "style"],
             )
 
@@ -266,17 +285,17 @@ def _logistic(text: np.ndarray, entry: np.ndarray, entries: int, dense: np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 100_000, seed: int = 0, scope: str = "") -> Classifier:
     """From ``docs`` (id, text) and ``labels`` (id, label 0/1)."""
-    features = labelled_sample(docs, labels, per_label, max_chars, seed).mapInArrow(textnum.tidy(_sample_features), "label long, weight double, keys binary, counts binary, style binary")
-    once = features.groupBy("keys").agg(F.max(F.struct("label", "weight", "counts", "style")).alias("of"))  # copies count once
-    known = table(once.select("keys", "of.*"), "toxicity-features", scope)
-    is_toxic = F.col("label") == 1
-    total, toxic, of_toxic, of_other = known.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(is_toxic.cast("long")), F.lit(0)), F.avg(F.when(is_toxic, F.col("weight"))), F.avg(F.when(~is_toxic, F.col("weight")))
-    ).first()
-    if not 0 < toxic < total:
-        return Classifier(np.empty(0, np.uint32), np.empty((0, len(LEVELS))), np.zeros(5), -10.0 if not toxic else 10.0)
-    codes = _mine(known, toxic / total, of_toxic / of_other)
-    found = known.select("keys", "label", "counts", "style", "weight").mapInArrow(_find_hits(codes), "name binary, label long, weight double, hits binary, listed boolean, style binary")
+    # texts are dealt out, which are smaller than what is known of them
+    sample = labelled_sample(docs, labels, per_label, max_chars, seed).repartition("id", "text").select("text", "label", "weight")
+    hashed = sample.mapInArrow(textnum.tidy(_sample_features), "label long, weight double, name binary, rank binary, keys binary, counts binary, style binary")
+    with small_reads(docs.sparkSession):
+        features = table(hashed.withColumn("row", F.monotonically_increasing_id()), "toxicity-features", scope)
+    kept, toxic, each = _once(features)  # copies count once
+    if toxic.all() or not toxic.any():
+        return Classifier(np.empty(0, np.uint32), np.empty((0, len(LEVELS))), np.zeros(5), 10.0 if toxic.any() else -10.0)
+    codes = _mine(features, kept, toxic.mean(), each[toxic].mean() / each[~toxic].mean())
+    known = features.select("name", "label", "weight", "keys", "counts", "style", "row")
+    found = known.mapInArrow(_find_hits(codes, kept), "name binary, label long, weight double, hits binary, listed boolean, style binary")
     rows = sorted(found.collect(), key=lambda r: bytes(r["name"]))
     y, weight = np.array([r["label"] == 1 for r in rows], dtype=bool), np.array([r["weight"] for r in rows])
     style = np.stack([np.frombuffer(r["style"]) for r in rows])
@@ -331,7 +350,9 @@ def train_labels(labels: DataFrame, label_col: str, id_col: str, folds: int, fol
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0) -> DataFrame:
     """One row per input row: id, held_out, score, predicted."""
     model = fit(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), train_labels(labels, label_col, id_col, folds, fold))
-    return score(docs, model, id_col, text_col).select(
+    with small_reads(docs.sparkSession):  # written, as a frame would be read later, with other settings
+        scores = table(score(docs, model, id_col, text_col), "toxicity-scores")
+    return scores.select(
         id_col, held_out(F.col(id_col), folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
