@@ -18,7 +18,12 @@ _SCOPE = "pipeline-"
 
 
 def _enter(spark: SparkSession, stage: str) -> str:
-    """Delete what earlier stages left: each result has been written before the next stage begins."""
+    """Delete what earlier stages left: each result has been written before the next stage begins.
+
+    A stage's frame runs when the caller writes it, so the session goes on reading in small batches after a stage, too:
+    an executor keeps the memory of the largest batches that it ever held, beside those of every later stage.
+    """
+    scratch.keep_small_reads(spark)
     for name, _ in STAGES:
         scratch.release(spark, _SCOPE + name)
     return _SCOPE + stage

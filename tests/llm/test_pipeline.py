@@ -3,9 +3,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from waymark.llm import queries
+from waymark.llm import queries, scratch
 
 from . import helpers
 from .test_text_operators import library
@@ -88,3 +89,30 @@ def test_hard_rows_through_every_stage(spark, tmp_path, monkeypatch):
 def test_no_rows_through_every_stage(spark, tmp_path):
     at = tables(spark, [], tmp_path)
     assert corpus_pipeline.run(spark, at).collect() == []
+
+
+def test_stages_are_read_in_small_batches(spark, sf):
+    """Also while the caller writes a stage's frame, which is after the stage returned."""
+    before = {name: spark.conf.get(name, None) for name in scratch.SMALL_READS}
+    rows = []
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        for name in scratch.SMALL_READS:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 64)  # the caller's, and smaller
+        docs, many = queries.read(spark, sf, "documents"), spark.range(0, 3000, 1, 1)
+        assert max(r.n for r in many.mapInArrow(seen, "n long").collect()) == 3000
+        for name, stage in corpus_pipeline.STAGES:
+            for setting in list(scratch.SMALL_READS)[1:]:
+                spark.conf.unset(setting)
+            stage(spark, docs, sf)
+            rows.append((name, max(r.n for r in many.mapInArrow(seen, "n long").collect())))
+            assert {s: int(spark.conf.get(s)) for s in scratch.SMALL_READS} == scratch.SMALL_READS | {"spark.sql.parquet.columnarReaderBatchSize": 64}
+        assert len(rows) == 5 and all(n <= 1000 for _, n in rows)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
